@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table with at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 200_000
-
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (local tests) a temporary folder of
-    this machine takes its place.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="waymark-"))
-    return _fallback[0]
+from waymark.sources.scratch import materialise, shared_dir, shared_path
 
+__all__ = ["lookup_join", "materialise", "ranked", "shared_dir", "shared_path", "text_or_empty"]
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}/{tag}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    It cuts the lineage like a checkpoint, but the copy is compressed, can be
-    column-pruned, and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: A table with at most this many (narrow) rows may be broadcast.
+BROADCAST_ROWS = 200_000
 
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str, limit: int = BROADCAST_ROWS
