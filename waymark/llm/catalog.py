@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exact, main_text, near, packing, sharding, warc
+from waymark.llm import decontaminate, exact, main_text, near, packing, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,11 +40,24 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -73,7 +86,9 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_dart_minhash": op3_dart_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
+    "op7_string_tiling": op7_string_tiling,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
 }
