@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, exact, main_text, near, packing, pii, sharding, toxicity, warc
+from waymark.llm import decontaminate, exact, main_text, mixing, near, packing, pii, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = "pmod(crc32(cast(cast(id as string) as binary)), 7) <> 2"
+    return mixing.score_documents(table(spark, sf_dir, "documents"), train)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_dart_minhash": op3_dart_minhash,
+    "op4_context_mixing": op4_context_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
     "op7_string_tiling": op7_string_tiling,
