@@ -1,10 +1,473 @@
-"""Driver queries over the bundled tables and their DuckDB counterparts."""
+"""Driver queries: each applies an operator to a bundled table; its DuckDB SQL says the same.
+
+The ``pages`` table has no statuses, ports or redirects, so the grouping queries use
+a probe view made of the page's id and URL by the expressions of ``PROBE``, which
+mean the same in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions import classify, pages, signatures, urls
+from waymark.functions import fixed as X
+from waymark.functions.rules import load_rules
+from waymark.operators.components import connected_components
+from waymark.plans import converge as C
+from waymark.sources.sites import parse_sites
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+RULES = load_rules()
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The probe view.
+PARTS = {
+    "scheme": "regexp_extract(url, '^([a-z]+)://', 1)",
+    "host": "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)",
+}
+PORT = "CASE WHEN page_id % 3 = 0 THEN 8080 WHEN page_id % 3 = 1 THEN 8443 WHEN scheme = 'https' THEN 443 ELSE 80 END"
+PROBE = [
+    {
+        "probe_error": "CASE WHEN page_id % 29 = 5 THEN 'Connection refused' WHEN page_id % 31 = 7 THEN 'SSL: CERTIFICATE_VERIFY_FAILED' WHEN page_id % 37 = 9 THEN 'Read timed out' ELSE '' END",
+        "original_status": "CASE WHEN page_id % 4 = 2 AND scheme = 'http' THEN 301 WHEN page_id % 11 = 3 THEN 403 ELSE 200 END",
+        "final_status": "CASE WHEN page_id % 11 = 3 THEN 403 WHEN page_id % 23 = 6 THEN 502 ELSE 200 END",
+        "shell_type": "CASE WHEN page_id % 13 IN (1, 2) THEN 'deny_shell' WHEN page_id % 13 IN (3, 4) THEN 'auth_api_shell' WHEN page_id % 13 IN (5, 6) THEN 'low_information_shell' ELSE '' END",
+        "noisy": "page_id % 17 = 4",
+        "auth_shell_like": "page_id % 19 = 3",
+        "ip": "'10.0.0.' || cast(length(host) % 2 as string)",
+        "body_sha256": "'b' || cast(length(host) % 3 as string)",
+        "title": "'t' || cast(page_id % 6 as string)",
+    },
+    {
+        "redirect_target": "CASE WHEN original_status = 301 THEN 'https://' || host || CASE WHEN page_id % 8 = 2 THEN ':8443/' ELSE '/' END ELSE '' END",
+        "shell_fp": "CASE WHEN shell_type = '' THEN NULL ELSE shell_type || cast(length(host) % 2 as string) END",
+        "low_information": "shell_type = 'low_information_shell'",
+        "comparison_ready": "shell_type = '' AND page_id % 5 <> 0",
+    },
+    {"equivalence_fp": "CASE WHEN comparison_ready THEN 'e' || cast(length(host) % 3 as string) ELSE NULL END"},
+]
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe view as the slim columns that convergence works on; first page of a site wins."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url").withColumns({k: F.expr(v) for k, v in PARTS.items()})
+    rows = rows.select("page_id", F.concat("scheme", F.lit("://"), "host", F.lit(":"), F.expr(PORT).cast("string"), F.lit("/")).alias("value"))
+    rows = parse_sites(rows, RULES, number="page_id").withColumnRenamed("line_no", "page_id")
+    for step in PROBE:
+        rows = rows.withColumns({k: F.expr(v) for k, v in step.items()})
+    moved = F.col("original_status") == 301
+    return rows.withColumns(
+        {
+            "noise_reasons": F.when(F.col("noisy"), F.array(F.lit(X.NOISE_GATEWAY))).otherwise(F.array().cast("array<string>")),
+            "resolved_ips": F.array("ip"),
+            "redirect_signature": F.struct(F.when(moved, "redirect").otherwise("direct").alias("kind"), F.when(moved, F.col("redirect_target")).otherwise("").alias("target")),
+        }
+    )
+
+
+def _steps() -> str:
+    out, last = "", "named"
+    for i, step in enumerate(PROBE):
+        columns = ", ".join(f"{v} AS {k}" for k, v in step.items())
+        out += f", probe{i} AS (SELECT *, {columns} FROM {last})"
+        last = f"probe{i}"
+    return out + f", sites AS (SELECT * FROM {last})"
+
+
+_URL = "scheme || '://' || host || CASE WHEN port = CASE WHEN scheme = 'https' THEN 443 ELSE 80 END THEN '' ELSE ':' || cast(port as string) END || '/'"
+SITES_SQL = (
+    f"WITH RECURSIVE parts AS (SELECT page_id, {PARTS['scheme']} AS scheme, {PARTS['host']} AS host FROM pages), "
+    f"ported AS (SELECT *, {PORT} AS port FROM parts), "
+    f"keyed AS (SELECT page_id, scheme, host, port, {_URL} AS url FROM ported), "
+    "named AS (SELECT *, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS domain FROM keyed QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)"
+    + _steps()
+)
+_RANK = "row(CASE WHEN original_status = 301 THEN 1 ELSE 0 END, CASE WHEN scheme = 'https' THEN 0 ELSE 1 END, CASE WHEN port = 443 THEN 0 ELSE 1 END, url)"
+_REP = f"arg_min(url, {_RANK})"
+_SHELL = "probe_error = '' AND NOT noisy AND shell_fp IS NOT NULL"
+_EQUAL = "NOT noisy AND probe_error = '' AND NOT auth_shell_like AND comparison_ready AND shell_type = '' AND equivalence_fp IS NOT NULL"
+_MOVED = "NOT noisy AND probe_error = '' AND original_status = 301 AND scheme = 'http'"
+_A = f"SELECT host, shell_fp, shell_type, count(*) AS member_count, {_REP} AS representative FROM sites WHERE {_SHELL} GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT port) >= 2"
+_B = f"SELECT domain, port, ip, shell_fp, shell_type, count(*) AS member_count, {_REP} AS representative FROM %s WHERE {_SHELL} GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT host) >= 2"
+_E3 = f"SELECT host, equivalence_fp, count(*) AS member_count, {_REP} AS representative FROM %s WHERE {_EQUAL} GROUP BY ALL HAVING count(*) >= 2"
+_E4 = f"SELECT domain, equivalence_fp, count(*) AS member_count, {_REP} AS representative FROM %s WHERE {_EQUAL} GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT host) >= 2"
+_E5 = (
+    f"SELECT ip, port, final_status, body_sha256, equivalence_fp, count(*) AS member_count, {_REP} AS representative FROM %s WHERE {_EQUAL} "
+    "GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT host) >= 2 AND count(DISTINCT domain) >= 2"
+)
+RUN_SQL = (
+    SITES_SQL
+    + f", a AS ({_A}), in_a AS (SELECT s.url, s.shell_type, a.representative FROM sites s JOIN a USING (host, shell_fp, shell_type) WHERE {_SHELL.replace('shell_fp', 's.shell_fp')})"
+    + ", rest AS (SELECT * FROM sites WHERE url NOT IN (SELECT url FROM in_a))"
+    + f", b AS ({_B % 'rest'}), in_b AS (SELECT s.url, b.representative FROM rest s JOIN b USING (domain, port, ip, shell_fp, shell_type) WHERE {_SHELL.replace('shell_fp', 's.shell_fp')})"
+    + ", active AS (SELECT * FROM rest WHERE NOT noisy AND url NOT IN (SELECT url FROM in_b))"
+    + f", moved AS (SELECT url, redirect_target FROM active WHERE {_MOVED})"
+    + ", outside AS (SELECT * FROM moved WHERE redirect_target NOT IN (SELECT url FROM active))"
+    + ", inside AS (SELECT * FROM active WHERE url NOT IN (SELECT url FROM outside))"
+    + f", equal AS (SELECT * FROM inside WHERE {_EQUAL})"
+    + ", keys AS (SELECT url, 'h' || host || equivalence_fp AS k FROM equal UNION ALL SELECT url, 'd' || domain || equivalence_fp FROM equal"
+    + f" UNION ALL SELECT e.url, 'x' || e.ip || e.port || e.final_status || e.body_sha256 || e.equivalence_fp FROM equal e JOIN ({_E5 % 'inside'}) USING (ip, port, final_status, body_sha256, equivalence_fp))"
+    + ", hubs AS (SELECT k, min(url) AS hub FROM keys GROUP BY k)"
+    + ", edges AS (SELECT url AS u, hub AS v FROM keys JOIN hubs USING (k) UNION SELECT hub, url FROM keys JOIN hubs USING (k)"
+    + " UNION SELECT url, redirect_target FROM moved WHERE redirect_target IN (SELECT url FROM active) UNION SELECT redirect_target, url FROM moved WHERE redirect_target IN (SELECT url FROM active))"
+    + ", reach(u, v) AS (SELECT url, url FROM inside UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)"
+    + ", comp AS (SELECT u AS url, min(v) AS component FROM reach GROUP BY u)"
+    + ", placed AS (SELECT i.*, component, count(*) OVER (PARTITION BY component) AS n FROM inside i JOIN comp USING (url))"
+    + f", base AS (SELECT component, {_REP} AS representative, count(*) AS n, count(DISTINCT host) AS hosts, count(DISTINCT domain) AS domains FROM placed WHERE n > 1 GROUP BY component)"
+    + ", led AS (SELECT b.*, EXISTS (SELECT 1 FROM placed p WHERE p.component = b.component AND p.url <> b.representative AND p.original_status = 301 AND p.redirect_target = b.representative) AS led FROM base b)"
+    + f", labels AS (SELECT component, representative, n, CASE WHEN led AND n = 2 AND hosts = 1 THEN '{X.HTTP_TO_HTTPS}' WHEN hosts = 1 THEN '{X.SAME_HOST}' WHEN domains > 1 THEN '{X.CROSS_DOMAIN}' ELSE '{X.SAME_DOMAIN}' END AS group_type,"
+    + f" CASE WHEN led AND n = 2 AND hosts = 1 THEN '{X.WHY_HTTP_TO_HTTPS}' WHEN hosts = 1 AND led THEN '{X.WHY_SAME_HOST_REDIRECT}' WHEN hosts = 1 THEN '{X.WHY_SAME_HOST}' WHEN domains > 1 THEN '{X.WHY_CROSS_DOMAIN}' ELSE '{X.WHY_SAME_DOMAIN}' END AS reason FROM led)"
+    + f", members AS (SELECT url, representative, '{X.SAME_HOST_SHELL}' AS group_type, '{X.WHY_SAME_HOST_SHELL}' AS reason FROM in_a WHERE shell_type <> 'deny_shell'"
+    + f" UNION ALL SELECT url, representative, '{X.SUBDOMAIN_SHELL}', '{X.WHY_SUBDOMAIN_SHELL}' FROM in_b"
+    + " UNION ALL SELECT p.url, l.representative, l.group_type, l.reason FROM placed p JOIN labels l USING (component)"
+    + f" UNION ALL SELECT url, redirect_target, '{X.HTTP_TO_HTTPS}', '{X.WHY_HTTP_TO_HTTPS}' FROM outside)"
+    + f", noise AS (SELECT s.url, CASE WHEN noisy THEN '{X.NOISE_GATEWAY}' ELSE '{X.NOISE_DENY}' END AS reasons FROM sites s WHERE noisy OR url IN (SELECT url FROM in_a WHERE shell_type = 'deny_shell'))"
+    + f", alone AS (SELECT url, CASE WHEN probe_error <> '' THEN '{X.ALONE_PROBE_FAILED}' WHEN low_information THEN '{X.ALONE_LOW_INFORMATION}' WHEN auth_shell_like THEN '{X.ALONE_AUTH}'"
+    + f" WHEN NOT comparison_ready THEN '{X.ALONE_WEAK}' ELSE '{X.ALONE_DEFAULT}' END AS reason FROM sites WHERE url NOT IN (SELECT url FROM noise) AND url NOT IN (SELECT url FROM members)) "
+)
+
+
+# URLs and site lists.
+_RAW = (
+    "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'HTTP://User:pw@' || upper(host) || ':8443/x?y#z' WHEN 2 THEN host "
+    "WHEN 3 THEN host || ':9443' ELSE '  ' || url || ' ' END"
+)
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").withColumns({k: F.expr(v) for k, v in PARTS.items()})
+    return rows.select("page_id", F.expr(_RAW).alias("raw"))
+
+
+_NORMAL_SQL = (
+    f"WITH p AS (SELECT page_id, url, {PARTS['scheme']} AS scheme, {PARTS['host']} AS host FROM pages), "
+    "n AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'https' ELSE scheme END AS scheme, host, "
+    "CASE page_id % 5 WHEN 1 THEN 8443 WHEN 2 THEN 80 WHEN 3 THEN 9443 ELSE CASE WHEN scheme = 'https' THEN 443 ELSE 80 END END AS port FROM p), "
+    f"u AS (SELECT *, {_URL} AS site FROM n) "
+)
+
+
+@query(_NORMAL_SQL + "SELECT page_id, site AS url, scheme, host, port FROM u")
+def site_normalize(spark, sf_dir):
+    site = urls.site_struct(F.col("raw"), RULES)
+    return _raw(spark, sf_dir).select("page_id", site.alias("s")).select("page_id", "s.url", "s.scheme", "s.host", "s.port")
+
+
+@query(_NORMAL_SQL + "SELECT page_id, site AS url FROM u QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1")
+def site_dedup_keep_first(spark, sf_dir):
+    return parse_sites(_raw(spark, sf_dir), RULES, line="raw", number="page_id").select(F.col("line_no").alias("page_id"), "url")
+
+
+@query("SELECT page_id, array_to_string(list_slice(string_split(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.'), -2, -1), '.') AS domain FROM pages")
+def registrable_domain(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.registrable_domain(urls.url_host(F.col("url")), RULES).alias("domain"))
+
+
+_HOSTS = {
+    "a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "com.cn": "com.cn", "x.y.z.com.cn": "z.com.cn", "localhost": "localhost", "a.example.com": "example.com",
+    "example.com.": "example.com", "10.1.2.3": None, "2001:db8::1": None, "1.2.3": "2.3",
+}
+
+
+def _values(pairs: dict, names: str) -> str:
+    text = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join(f'({text(k)}, {text(v)})' for k, v in pairs.items())}) t({names})"
+
+
+@query(_values(_HOSTS, "host, domain"))
+def registrable_domain_suffix_list(spark, sf_dir):
+    rows = spark.createDataFrame([(h,) for h in _HOSTS], "host string")
+    return rows.select("host", urls.registrable_domain(F.col("host"), RULES).alias("domain"))
+
+
+_SCHEMES = {
+    "h": "http", "h:443": "https", "h:8443": "https", "h:10443": "https", "h:80": "http", "h:8443/x": "http", "[::1]:9443": "https", "[::1]:80": "http",
+    "HTTPS://h": "https", "http://h:443": "http", "a:b:443": "http",
+}
+
+
+@query(_values(_SCHEMES, "raw, scheme"))
+def scheme_inference(spark, sf_dir):
+    rows = spark.createDataFrame([(h,) for h in _SCHEMES], "raw string")
+    return rows.select("raw", urls.infer_scheme(F.col("raw"), RULES).alias("scheme"))
+
+
+@query(
+    f"WITH p AS (SELECT page_id, {PARTS['scheme']} AS scheme, {PARTS['host']} AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, "
+    "regexp_extract(url, '([?][^#]*)', 1) AS query FROM pages) "
+    "SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END AS url, scheme || '://' || host AS origin FROM p"
+)
+def url_compare_form(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.url_for_compare(F.col("url")).alias("url"), urls.origin(F.col("url")).alias("origin"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/a/b' AS url FROM pages")
+def redirect_target_resolved(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.url_for_compare(pages.resolved_url(F.col("url"), F.lit("/a/./c/../b#f"))).alias("url"))
+
+
+# Pages.
+_UNESCAPE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_TIDY = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_TITLE_SQL = _TIDY.format(_UNESCAPE.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))
+_TEXT_SQL = _TIDY.format(_UNESCAPE.format("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = F.array(*[F.lit("")] * 4, F.lit("text/html"))
+    page = pages.page_udf(RULES.patterns("http", "html_content_types"))
+    rows = _table(spark, sf_dir, "pages")
+    return rows.select("page_id", "url", F.octet_length("html").alias("size"), page("url", F.col("html").cast("binary"), headers).alias("p")).select("page_id", "url", "size", "p.*")
+
+
+@query(f"SELECT page_id, replace({_TITLE_SQL}, '&amp', '&') AS title FROM pages")
+def page_title(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "title")
+
+
+@query(f"SELECT page_id, replace({_TEXT_SQL}, '&amp', '&') AS body_text FROM pages")
+def page_visible_text(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", "body_text")
+
+
+@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1))) AS links FROM pages")
+def page_links_distinct(spark, sf_dir):
+    return _features(spark, sf_dir).select("page_id", F.size("links").cast("long").alias("links"))
+
+
+@query("SELECT page_id, sha256(html) AS body_sha256, CAST(least(strlen(html), 524288) AS BIGINT) AS body_length FROM pages")
+def body_fingerprint(spark, sf_dir):
+    body = F.substring(F.col("html").cast("binary"), 1, int(RULES.get("max_body_bytes")))
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(body, 256).alias("body_sha256"), F.octet_length(body).cast("long").alias("body_length"))
+
+
+@query(
+    "SELECT page_id, regexp_matches(html, '[A-Za-z0-9]{4,}') AS business, true AS low_information, "
+    "page_id % 4 >= 2 AND (page_id % 4 < 2 OR page_id % 3 = 0 OR regexp_matches(html, '[A-Za-z0-9]{4,}')) AS enough FROM pages"
+)
+def low_information_flag(spark, sf_dir):
+    rows = _features(spark, sf_dir)
+    resources = F.expr("CASE WHEN page_id % 4 >= 2 THEN array('js:/a', 'css:/b') ELSE array('js:/a', 'icon:/i') END")
+    low = classify.low_information(F.col("size"), F.col("body_text"), F.col("loads"), F.col("resources"), RULES)
+    given = classify.low_information(F.lit(600), F.lit(""), F.lit(2), resources, RULES)
+    return rows.select("page_id", classify.business_text(F.col("body_text"), RULES).alias("business"), low.alias("low_information"), (~given).alias("enough"))
+
+
+_AUTH = "CASE page_id % 6 WHEN 0 THEN 'Login via SSO' WHEN 1 THEN 'please login' WHEN 2 THEN '统一登录 login' WHEN 3 THEN 'classo' WHEN 4 THEN 'oauth' ELSE 'Sign in: single sign-on' END"
+
+
+@query("SELECT page_id, page_id % 6 IN (0, 2, 5) AS auth_like FROM pages")
+def auth_like_flag(spark, sf_dir):
+    empty = F.array().cast("array<string>")
+    flag = classify.auth_like(F.expr(_AUTH), F.lit("plain"), F.lit("http://h/"), empty, empty, RULES)
+    return _table(spark, sf_dir, "pages").select("page_id", flag.alias("auth_like"))
+
+
+_NOISE = {
+    "status": "CASE page_id % 5 WHEN 0 THEN 502 WHEN 1 THEN 403 ELSE 200 END",
+    "size": "CASE WHEN page_id % 10 = 0 THEN 2048 ELSE 2049 END",
+    "ntitle": "CASE page_id % 7 WHEN 0 THEN 'bad gateway' WHEN 1 THEN 'attention required!' ELSE 'shop' END",
+    "nbody": "CASE page_id % 9 WHEN 0 THEN 'error 1020: x access denied' WHEN 1 THEN 'your request has been blocked' ELSE 'words' END",
+    "server": "CASE WHEN page_id % 2 = 0 THEN 'cloudflare' ELSE 'nginx' END",
+}
+
+
+@query(
+    f"WITH n AS (SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _NOISE.items())} FROM pages) "
+    f"SELECT page_id, array_to_string(list_sort(list_filter([CASE WHEN status = 502 AND size <= 2048 THEN '{X.NOISE_GATEWAY}' END, CASE WHEN ntitle <> 'shop' THEN '{X.NOISE_TITLE}' END, "
+    f"CASE WHEN nbody <> 'words' THEN '{X.NOISE_BODY}' END, CASE WHEN server = 'cloudflare' AND status = 403 AND (nbody LIKE '%access denied%' OR ntitle LIKE '%attention required%') THEN '{X.NOISE_CDN}' END], "
+    "lambda x: x IS NOT NULL)), '|') AS reasons FROM n"
+)
+def noise_reasons(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").withColumns({k: F.expr(v) for k, v in _NOISE.items()})
+    reasons = classify.noise_reasons(F.col("status"), F.col("size"), F.col("ntitle"), F.col("nbody"), F.lit(""), F.col("server"), RULES)
+    return rows.select("page_id", F.array_join(reasons, "|").alias("reasons"))
+
+
+@query("SELECT page_id, page_id % 4 IN (1, 2) AS default_page FROM pages")
+def default_page_flag(spark, sf_dir):
+    title = F.expr("CASE WHEN page_id % 4 = 1 THEN 'welcome to nginx!' ELSE 'x' END")
+    body = F.expr("CASE WHEN page_id % 4 = 2 THEN 'the apache2 ubuntu default page: it works' ELSE 'welcome' END")
+    return _table(spark, sf_dir, "pages").select("page_id", classify.default_page(title, body, RULES).alias("default_page"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'maintenance_shell' WHEN page_id % 5 = 1 AND page_id % 3 = 0 THEN 'auth_api_shell' "
+    "WHEN page_id % 5 = 2 AND (page_id % 2 = 0 OR (page_id % 3 = 0 AND page_id % 7 < 3)) THEN 'deny_shell' WHEN page_id % 7 < 3 THEN 'low_information_shell' ELSE '' END AS shell_type FROM pages"
+)
+def shell_class(spark, sf_dir):
+    e = F.expr
+    kind = classify.shell_type(
+        e("CASE WHEN page_id % 2 = 0 THEN 403 ELSE 200 END"), e("CASE WHEN page_id % 3 = 0 THEN 'application/json' ELSE 'text/html' END"),
+        e("CASE WHEN page_id % 11 = 0 THEN '系统维护中' ELSE 'x' END"), e("CASE page_id % 5 WHEN 1 THEN 'not authenticated' WHEN 2 THEN 'forbidden' ELSE 'hello' END"),
+        e("page_id % 7 < 3"), RULES,
+    )
+    return _table(spark, sf_dir, "pages").select("page_id", kind.alias("shell_type"))
+
+
+@query(
+    SITES_SQL + ", f AS (SELECT url, CASE WHEN probe_error LIKE 'SSL%' THEN 'SSL证书校验失败' WHEN probe_error LIKE '%timed out' THEN '请求超时' ELSE '连接被拒绝' END AS category FROM sites WHERE probe_error <> '') "
+    "SELECT category, count(*) AS failures, array_to_string(list_slice(list_sort(list(url)), 1, 5), ' ') AS samples FROM f GROUP BY category"
+)
+def failure_categories(spark, sf_dir):
+    out = C.failure_summary(sites(spark, sf_dir))
+    return out.select("category", F.col("count").alias("failures"), F.array_join("sample_urls", " ").alias("samples"))
+
+
+# Signatures.
+@query(
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'strong' WHEN page_id % 4 = 0 THEN NULL ELSE 'weak' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'e' || page_id WHEN page_id % 4 = 0 THEN NULL ELSE '' END AS etag, "
+    "CASE WHEN page_id % 3 <> 0 AND page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 0 THEN '' ELSE 'nginx' END AS server FROM pages"
+)
+def header_signature(spark, sf_dir):
+    none, e = F.lit(""), F.expr
+    signed = signatures.header_signature(e("CASE WHEN page_id % 3 = 0 THEN 'e' || page_id ELSE '' END"), none, e("CASE WHEN page_id % 4 = 0 THEN '' ELSE 'nginx' END"), none, none)
+    return _table(spark, sf_dir, "pages").select("page_id", signed.alias("s")).select("page_id", "s.kind", "s.etag", "s.server")
+
+
+@query(SITES_SQL + " SELECT url, CASE WHEN original_status = 301 THEN 'redirect' ELSE 'direct' END AS kind, redirect_target AS target FROM sites")
+def redirect_signature(spark, sf_dir):
+    final = F.when(F.col("redirect_target") != "", F.col("redirect_target")).otherwise(F.col("url"))
+    signed = signatures.redirect_signature(F.col("url"), final, F.col("original_status"))
+    return sites(spark, sf_dir).select("url", signed.alias("s")).select("url", "s.kind", "s.target")
+
+
+@query("SELECT page_id, page_id % 3 <> 0 AS signed, CASE WHEN page_id % 3 = 1 THEN 't' WHEN page_id % 3 = 2 THEN '' END AS title, CASE WHEN page_id % 3 = 2 THEN 'g' WHEN page_id % 3 = 1 THEN '' END AS generator FROM pages")
+def structure_signature(spark, sf_dir):
+    none, e = F.lit(""), F.expr
+    signed = signatures.structure_signature(e("CASE WHEN page_id % 3 = 1 THEN 't' ELSE '' END"), none, none, e("CASE WHEN page_id % 3 = 2 THEN 'g' ELSE '' END"), none)
+    return _table(spark, sf_dir, "pages").select("page_id", signed.alias("s")).select("page_id", F.col("s").isNotNull().alias("signed"), "s.title", "s.generator")
+
+
+@query("SELECT page_id, '/favicon.ico:404: /robots.txt:200:' || sha256('r' || (page_id % 3)) AS signature FROM pages")
+def key_path_signature(spark, sf_dir):
+    empty = "map('x', '')"
+    probes = F.expr(
+        f"array(named_struct('path', '/robots.txt', 'status', 200, 'headers', {empty}, 'body', cast('r' || (page_id % 3) as binary), 'error', ''), "
+        f"named_struct('path', '/favicon.ico', 'status', 404, 'headers', {empty}, 'body', cast(null as binary), 'error', 'gone'))"
+    )
+    rows = _table(spark, sf_dir, "pages").select("page_id", pages.key_path_udf(probes).alias("probes"))
+    signed = signatures.key_path_signature(F.col("probes"))
+    shown = F.transform(signed, lambda p: F.concat_ws(":", p["path"], p["status"].cast("string"), p["sha256"]))
+    return rows.select("page_id", F.array_join(shown, " ").alias("signature"))
+
+
+@query("SELECT event_id, 'data:' || regexp_extract(props, ': *([0-9]+)', 1) AS fields FROM events")
+def json_semantic_fields(spark, sf_dir):
+    text = F.regexp_replace("props", '"k"', '"Da-ta"')
+    signed = pages.payload_udf(F.lit("application/json"), text)
+    parts = F.from_json(signed, "array<string>")
+    field = F.from_json(F.element_at(parts, 2), "array<array<string>>")
+    return _table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(field, lambda f: F.array_join(f, ":")), " ").alias("fields"))
+
+
+@query("SELECT event_id, '[\"xml\", \"err\", [[\"err.code\", \"' || event_type || '\"]]]' AS signature FROM events")
+def xml_semantic_fields(spark, sf_dir):
+    text = F.concat(F.lit("<e:Err xmlns:e='u'><Code>"), F.upper("event_type"), F.lit("</Code><other>1</other></e:Err>"))
+    return _table(spark, sf_dir, "events").select("event_id", pages.payload_udf(F.lit("text/xml; q=1"), text).alias("signature"))
+
+
+# Grouping scenarios.
+@query(SITES_SQL + f" {_A}")
+def same_host_shell_groups(spark, sf_dir):
+    return C.same_host_shells(sites(spark, sf_dir)).select("host", "shell_fp", "shell_type", "member_count", "representative")
+
+
+@query(SITES_SQL + f" {_B % 'sites'}")
+def same_port_subdomain_shell_groups(spark, sf_dir):
+    out = C.subdomain_shells(sites(spark, sf_dir))
+    return out.select("domain", "port", F.array_join("resolved_ips", ",").alias("ip"), "shell_fp", "shell_type", "member_count", "representative")
+
+
+@query(SITES_SQL + f" SELECT url AS src, redirect_target AS dst FROM sites WHERE {_MOVED} AND redirect_target IN (SELECT url FROM sites)")
+def redirect_edges(spark, sf_dir):
+    return C.redirects(sites(spark, sf_dir))[0]
+
+
+@query(SITES_SQL + f" SELECT url, redirect_target AS representative FROM sites WHERE {_MOVED} AND redirect_target NOT IN (SELECT url FROM sites)")
+def external_redirect_groups(spark, sf_dir):
+    return C.redirects(sites(spark, sf_dir))[1].select("url", F.col("redirect_target").alias("representative"))
+
+
+@query(SITES_SQL + f" {_E3 % 'sites'}")
+def same_host_equiv(spark, sf_dir):
+    return C.same_host_equivalents(sites(spark, sf_dir))
+
+
+@query(SITES_SQL + f" {_E4 % 'sites'}")
+def same_domain_equiv(spark, sf_dir):
+    return C.same_domain_equivalents(sites(spark, sf_dir)).select("domain", "equivalence_fp", "member_count", "representative")
+
+
+@query(SITES_SQL + f" {_E5 % 'sites'}")
+def cross_domain_equiv(spark, sf_dir):
+    out = C.cross_domain_equivalents(sites(spark, sf_dir))
+    return out.select(F.array_join("resolved_ips", ",").alias("ip"), "port", "final_status", "body_sha256", "equivalence_fp", "member_count", "representative")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT c_custkey AS u, c_custkey - c_custkey % 7 + (c_custkey * 3) % 5 AS v FROM customer), "
+    "both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach(u, v) AS (SELECT u, u FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u) "
+    "SELECT u AS node, min(v) AS component FROM reach GROUP BY u"
+)
+def components(spark, sf_dir):
+    edges = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS src", "c_custkey - c_custkey % 7 + (c_custkey * 3) % 5 AS dst")
+    return connected_components(edges)
+
+
+@query(SITES_SQL + f" SELECT host, {_REP} AS representative FROM sites GROUP BY host")
+def representatives(spark, sf_dir):
+    return sites(spark, sf_dir).groupBy("host").agg(C.representative().alias("representative"))
+
+
+@query(RUN_SQL + "SELECT representative, group_type, reason, count(*) AS member_count FROM members WHERE url IN (SELECT url FROM inside) GROUP BY ALL")
+def group_labels(spark, sf_dir):
+    out = C.converge(sites(spark, sf_dir))
+    return out.groups.where("group_id like 'C:%'").select("representative", "group_type", "reason", "member_count")
+
+
+@query(RUN_SQL + "SELECT url, representative, group_type, reason FROM members")
+def group_members(spark, sf_dir):
+    return C.converge(sites(spark, sf_dir)).members.select("url", "representative", "group_type", "reason")
+
+
+@query(RUN_SQL + "SELECT url, reason FROM alone")
+def independent_reasons(spark, sf_dir):
+    return C.converge(sites(spark, sf_dir)).independent.select("url", "reason")
+
+
+@query(
+    RUN_SQL + "SELECT url, 'noise' AS class, reasons AS why FROM noise UNION ALL SELECT url, 'member', group_type FROM members UNION ALL SELECT url, 'independent', reason FROM alone"
+)
+def three_way_partition(spark, sf_dir):
+    out = C.converge(sites(spark, sf_dir))
+    named = lambda df, kind, why: df.select("url", F.lit(kind).alias("class"), why.alias("why"))
+    return named(out.noise, "noise", F.array_join("reasons", "|")).unionByName(named(out.members, "member", F.col("group_type"))).unionByName(named(out.independent, "independent", F.col("reason")))
+
+
+@query(
+    RUN_SQL + f"SELECT (SELECT count(*) FROM sites) AS \"{X.COUNT_INPUT}\", (SELECT count(*) FROM sites WHERE probe_error <> '') AS \"{X.COUNT_FAILED}\", (SELECT count(*) FROM noise) AS \"{X.COUNT_NOISE}\", "
+    f"(SELECT count(*) FROM a WHERE shell_type <> 'deny_shell') + (SELECT count(*) FROM b) + (SELECT count(*) FROM labels) + (SELECT count(*) FROM outside) AS \"{X.COUNT_GROUPS}\", "
+    f"(SELECT count(*) FROM members) AS \"{X.COUNT_MEMBERS}\", (SELECT count(*) FROM alone) AS \"{X.COUNT_ALONE}\""
+)
+def summary_counts(spark, sf_dir):
+    return C.converge(sites(spark, sf_dir)).summary()
