@@ -146,12 +146,13 @@ def graph_nodes(text: str, base: list[Span]) -> list[tuple[int, int, int, tuple[
                 if keys and free(a, b):
                     nodes.append((a, b, -1, keys, _shape(text[a:b])))
     if mailboxes:
-        for m in _SPOKEN.finditer(text):
-            if free(m.start(), m.end()):
-                nodes.append((m.start(), m.end(), -1, (_address_key(m[1], m[2]),), "address"))
+        spoken = [m for m in _SPOKEN.finditer(text) if free(m.start(), m.end())]
+        covered = {i for m in spoken for i in range(m.start(), m.end())}
+        for m in spoken:
+            nodes.append((m.start(), m.end(), -1, (_address_key(m[1], m[2]),), "address"))
         for m in _WORD.finditer(text):
             word = m[0].rstrip(".")
-            if word.lower() in mailboxes and free(m.start(), m.start() + len(word)) and text[m.end() : m.end() + 1] != "@":
+            if word.lower() in mailboxes and m.start() not in covered and free(m.start(), m.start() + len(word)) and text[m.end() : m.end() + 1] != "@":
                 nodes.append((m.start(), m.start() + len(word), -1, ("m:" + word.lower(),), "address"))
     nodes.sort(key=lambda n: n[:3])
     return nodes
@@ -179,18 +180,21 @@ def _edges(nodes: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> dict[str, Counter]:
-    """Counts over all documents: (shape, label), (label, label) along chains, and along skips."""
+    """Counts over all documents: (shape, label), (label, label) along chains, and along skips.
+
+    Edges count where both ends have a known label. A hidden number counts as none;
+    a hidden address counts for nothing, as base patterns never match its form.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in without_nulls(batch.column(0)).to_pylist():
                 nodes = graph_nodes(text, base_spans(text))
-                label = [max(n[2], 0) for n in nodes]
-                seen.update(("shape", n[4], str(y)) for n, y in zip(nodes, label, strict=True))
-                chain, skip = _edges(nodes)
-                seen.update(("chain", str(label[a]), str(label[b])) for a, b in chain)
-                seen.update(("skip", str(label[a]), str(label[b])) for a, b in skip)
+                label = [n[2] for n in nodes]
+                seen.update(("shape", n[4], str(max(y, 0))) for n, y in zip(nodes, label, strict=True) if y > 0 or n[4] != "address")
+                for part, edges in zip(("chain", "skip"), _edges(nodes), strict=True):
+                    seen.update((part, str(label[a]), str(label[b])) for a, b in edges if label[a] > 0 and label[b] > 0)
         columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 4
         yield pa.record_batch(
             [*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int64())], names=["part", "a", "b", "n"]
@@ -211,20 +215,19 @@ class Field:
         self.unary: dict[str, np.ndarray] = {}
         for (shape, label), n in counts["shape"].items():
             self.unary.setdefault(shape, np.zeros(k))[label] += n
-        self.chain = self._agreement(counts["chain"], 1.0)
-        self.skip = self._agreement(counts["skip"], 1.0)
+        self.chain = self._agreement(counts["chain"])
+        self.skip = self._agreement(counts["skip"])
 
     @staticmethod
-    def _agreement(pairs: Counter, smooth: float) -> np.ndarray:
-        """Log of joint over independent probability, symmetric; a known kind never repels itself."""
+    def _agreement(pairs: Counter) -> np.ndarray:
+        """Log of each pair's share among the pairs of its two labels, symmetric; smoothed towards agreement."""
         k = len(LABELS)
-        table = np.full((k, k), smooth) + 4 * smooth * np.eye(k)
+        table = np.full((k, k), 0.5) + 4 * np.eye(k)
         for (a, b), n in pairs.items():
             table[int(a), b] += n
             table[b, int(a)] += n
-        table /= table.sum()
-        side = table.sum(0)
-        return np.clip(np.log(table / np.outer(side, side)), -3, 6)
+        side = np.sqrt(table.sum(0))
+        return np.maximum(np.log(table / np.outer(side, side)), -6)
 
     def observe(self, shape: str) -> np.ndarray:
         """Half what the corpus says of the shape, half even odds between none and what its form allows."""
