@@ -24,13 +24,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}/{tag}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage like a checkpoint, but the copy is compressed, can be
-    column-pruned, and survives the loss of any executor.
+    column-pruned, and survives the loss of any executor. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
