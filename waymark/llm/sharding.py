@@ -21,13 +21,13 @@ _SPLIT = 1 << 20
 _BUCKETS = 1024
 
 
-def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 4) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> DataFrame:
     """Rounds of label propagation over (``__wm_g`` group, ``__wm_s`` shard, ...).
 
     ``total`` is the number of all documents, ballast included; a shard's quota
     for incoming members is total / shards less the linked rows it holds. A
     member moves only to a shard where it has more neighbours (ties: the lower
-    shard), so a settled group doesn't move again.
+    shard), so a settled group doesn't move again; rounds end when nothing moves.
     """
     capacity = total // shards
     for _ in range(rounds):
@@ -80,7 +80,7 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 4) -> Da
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4
+    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12
 ) -> DataFrame:
     """One row per input row: id, size, text_crc32, linked, shard, slot.
 
