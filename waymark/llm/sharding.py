@@ -30,7 +30,7 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> D
     shard), so a settled group doesn't move again; rounds end when nothing moves.
     """
     capacity = total // shards
-    for _ in range(rounds):
+    for turn in range(rounds):
         cells = materialise(linked.groupBy("__wm_g", "__wm_s").agg(F.count(F.lit(1)).alias("__wm_n")), "cells")
         loads = {r["__wm_s"]: r["n"] for r in cells.groupBy("__wm_s").agg(F.sum("__wm_n").alias("n")).collect()}
         room = [max(0, capacity - loads.get(s, 0)) for s in range(shards)]
@@ -69,7 +69,7 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> D
             .select("__wm_g", "__wm_s", "__wm_to", "__wm_share"),
             "turns",
         )
-        goes = F.pmod(F.xxhash64("__wm_id", F.lit("turn")), F.lit(_SPLIT)) < F.col("__wm_share")
+        goes = F.pmod(F.xxhash64("__wm_id", F.lit(turn)), F.lit(_SPLIT)) < F.col("__wm_share")
         linked = materialise(
             lookup_join(linked, turns, ["__wm_g", "__wm_s"], "left")
             .withColumn("__wm_s", F.when(goes, F.col("__wm_to")).otherwise(F.col("__wm_s")))
