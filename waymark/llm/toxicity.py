@@ -20,7 +20,7 @@ from waymark.llm.store import lookup_join, materialise, text_or_empty
 from waymark.llm.words import Words, mix, slices, split_words, without_nulls
 
 PREFIXES = (4, 5)
-HASH_BITS = 22
+HASH_BITS = 21
 #: Bound of the training sample: labelled rows, those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 FEATURES, FACTORS, EPOCHS = 4096, 8, 40
@@ -68,9 +68,12 @@ def _logits(feature, owner, texts, bias, weight, factor):
     return bias + linear + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = EPOCHS) -> Model:
+def fit(
+    flat: np.ndarray, bounds: np.ndarray, labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = EPOCHS
+) -> Model:
     """Terms chosen by chi-square of presence against the label, then Adam on the logistic loss.
 
+    ``flat`` holds all rows' terms, row i those from ``bounds[i]`` up to ``bounds[i + 1]``.
     Without rows of both labels the model is the constant base rate.
     """
     n, positive = len(labels), float(labels.sum())
@@ -79,22 +82,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     none = np.zeros(0)
     if not 0 < positive < n:
         return Model(bias, none.astype(np.int64), none, np.zeros((0, factors)))
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    here, size = np.bincount(flat[labels[owner] == 1], minlength=1 << HASH_BITS), np.bincount(flat, minlength=1 << HASH_BITS)
-    expected = size * (positive / n)
-    variance = expected * (1 - positive / n) * (1 - size / n)
-    chi = np.where(size >= 3, (here - expected) ** 2 / np.maximum(variance, 1e-9), 0.0)
-    slot = np.sort(np.argsort(-chi, kind="stable")[: min(features, int((chi > 0).sum()))])
-    at = np.searchsorted(slot, flat)
-    hit = at < len(slot)
-    hit[hit] = slot[at[hit]] == flat[hit]
-    feature, owner = at[hit], owner[hit]
+    size = np.bincount(flat, minlength=1 << HASH_BITS)
+    here = np.zeros(1 << HASH_BITS, np.int64)
+    for i in np.flatnonzero(labels == 1):
+        here[flat[bounds[i] : bounds[i + 1]]] += 1
+    seen = np.flatnonzero(size >= 3)
+    expected = size[seen] * (positive / n)
+    variance = expected * (1 - positive / n) * (1 - size[seen] / n)
+    chi = (here[seen] - expected) ** 2 / np.maximum(variance, 1e-9)
+    slot = np.sort(seen[np.argsort(-chi, kind="stable")[:features]])
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[slot] = np.arange(len(slot))
+    parts = [place[flat[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    parts = [q[q >= 0] for q in parts]
+    feature = np.concatenate(parts).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum([len(q) for q in parts])])
     random = np.random.default_rng(17)
     params = [np.zeros(1), np.zeros(len(slot)), random.normal(0, 0.02, (len(slot), factors))]
     params[0][:] = bias
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    start = np.searchsorted(owner, np.arange(n + 1))
     batch = 2048
     for epoch in range(epochs):
         rate_now = 0.05 * 0.5 ** (epoch // 10)
@@ -154,14 +160,12 @@ def train(
                 yield pa.record_batch([batch.column(0).slice(at, to - at), lists], names=["y", "terms"])
 
     got = rows.mapInArrow(extract, "y int, terms array<int>").toArrow()
-    y = got.column(0).to_numpy().astype(float) > 0
-    lists = [np.asarray(c.values.to_numpy(), np.int64)[o] for c in got.column(1).chunks for o in _spans(c)]
-    return fit(lists, y.astype(float))
-
-
-def _spans(chunk: pa.ListArray) -> list[slice]:
-    offsets = chunk.offsets.to_numpy()
-    return [slice(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    y = (got.column(0).to_numpy() > 0).astype(float)
+    lists = got.column(1)
+    flat = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
+    sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in lists.chunks]])
+    del got, lists
+    return fit(flat, np.concatenate([[0], np.cumsum(sizes)]), y)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
