@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from waymark.llm.store import materialise, text_or_empty
 from waymark.llm.words import mix, slices, split_words, without_nulls
 
 #: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 #: Predictors: place in the word, orders 1 to 4, whole beginning; slots of each as a power of two.
 SLOT_BITS = (14, 16, 18, 20, 21, 23)
 #: The whole-beginning predictor counts words seen at least so often in training.
@@ -52,7 +53,17 @@ _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _LN10 = math.log(10)
 _CODES = np.round(2 ** (np.arange(256) / 8) - 1).astype(np.float64)
 
-_PARTS = "chunk long, docs binary, bounds binary, tokens binary, hash long, word binary, n long"
+_PARTS = "chunk long, docs binary, bounds binary, tokens binary, ranks binary, hash long, word binary, n long"
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, train: str) -> DataFrame:
@@ -82,6 +93,10 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: str) -> DataFram
                 distinct, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
                 training = batch.column(2).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)
                 n = np.bincount(tokens[np.repeat(training, counts_)], minlength=len(distinct))
+                # frequent words get small numbers, which compress well
+                by_rank = np.argsort(-np.bincount(tokens, minlength=len(distinct)), kind="stable")
+                rank = np.empty(len(distinct), np.int64)
+                rank[by_rank] = np.arange(len(distinct))
                 names = [b""] * len(distinct)
                 for fresh, starts, ends, raw in spelt.values():
                     data = raw.tobytes().lower()
@@ -92,14 +107,14 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, train: str) -> DataFram
                 doc_part = [known.fill_null(0).cast(pa.int64()).to_numpy(), (~np.asarray(known.is_null())).astype(np.int64), training.astype(np.int64)]
                 head = [
                     pa.array([number], pa.int64()), pa.array([np.stack(doc_part).tobytes()], pa.binary()),
-                    pa.array([bounds.astype(np.int64).tobytes()], pa.binary()), pa.array([tokens.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([bounds.astype(np.int64).tobytes()], pa.binary()), pa.array([_squeeze(rank[tokens])], pa.binary()), pa.array([_squeeze(by_rank)], pa.binary()),
                     blank(1, pa.int64()), blank(1, pa.binary()), blank(1, pa.int64()),
                 ]
                 columns = [p.split()[0] for p in _PARTS.split(", ")]
                 yield pa.record_batch(head, names=columns)
                 k = len(distinct)
                 yield pa.record_batch(
-                    [pa.array(np.full(k, number)), blank(k, pa.binary()), blank(k, pa.binary()), blank(k, pa.binary()),
+                    [pa.array(np.full(k, number)), *[blank(k, pa.binary())] * 4,
                      pa.array(distinct.view(np.int64)), pa.array(names, pa.binary()), pa.array(n)],
                     names=columns,
                 )
@@ -166,14 +181,15 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at, to in _lots(words):
             lot = spell(words[at:to])
             often = (counts[at:to] >= PREFIX_MIN)[lot.word]
+            ones = np.ones(len(often), np.uint32)
             for bit in range(8):
                 slots, bits = lot.slots(bit)
                 for p, slot in enumerate(slots):
-                    place = 2 * (slot + np.uint64(_STARTS[p])) + bits
+                    place = (2 * (slot + np.uint64(_STARTS[p])) + bits).astype(np.intp)
                     if p == len(SLOT_BITS) - 1:
-                        np.add.at(table, place[often], 1)
-                    else:
-                        np.add.at(table, place, 1)
+                        place = place[often]
+                    # an array of the table's own type keeps ufunc.at on its fast path
+                    np.add.at(table, place, ones[: len(place)])
     width = 2 << BLOCK_BITS
     rows = []
     for block in range(-(-len(table) // width)):
@@ -212,6 +228,10 @@ class Mixer:
 
     def __init__(self, table: np.ndarray):
         self.table = table
+        one, zero = _CODES[None, :], _CODES[:, None]
+        #: By codes of zeros and ones: each predictor's log odds, and the gate's two parts.
+        self.odds = [np.log((one + a) / (zero + a)) for a in _PRIOR]
+        self.gates = [self._gate(zero + one, part) for part in (4, 5)]
         self.weights = np.full((8 * 24, len(SLOT_BITS) + 1), 0.0)
         self.weights[:, 3:6] = 0.3
         self.refine = np.tile(np.linspace(-12, 12, 49), (24, 1))
@@ -224,20 +244,32 @@ class Mixer:
         """
         slots, bits = lot.slots(bit)
         odds = np.empty((len(bits), len(slots) + 1), np.float64)
-        seen = []
+        gate = np.zeros(len(bits), np.int64)
         for p, slot in enumerate(slots):
             place = 2 * (slot.astype(np.int64) + _STARTS[p])
-            zeros, ones = _CODES[self.table[place]], _CODES[self.table[place + 1]]
-            if left_out is not None:
-                own = 1.0 if p < len(slots) - 1 else (left_out == 1).astype(float)
-                ones = np.maximum(ones - own * bits, 0)
-                zeros = np.maximum(zeros - own * (1 - bits.astype(float)), 0)
+            zeros, ones = self.table.take(place), self.table.take(place + 1)
+            if left_out is None:
+                odds[:, p] = self.odds[p][zeros, ones]
+                if p >= 4:
+                    gate += self.gates[p - 4][zeros, ones]
+                continue
+            zeros, ones = _CODES[zeros], _CODES[ones]
+            own = 1.0 if p < len(slots) - 1 else (left_out == 1).astype(float)
+            ones = np.maximum(ones - own * bits, 0)
+            zeros = np.maximum(zeros - own * (1 - bits.astype(float)), 0)
             odds[:, p] = np.log((ones + _PRIOR[p]) / (zeros + _PRIOR[p]))
-            seen.append(zeros + ones)
+            if p >= 4:
+                gate += self._gate(zeros + ones, p)
         odds[:, -1] = 0.3
-        gate = np.digitize(seen[5], [0.5, 2.5, 7.5, 31.5, 255.5]) * 4 + np.digitize(seen[4], [0.5, 3.5, 31.5])
         return odds, gate, bits.astype(np.float64)
 
+    @staticmethod
+    def _gate(seen: np.ndarray, predictor: int) -> np.ndarray:
+        """How much a long context has seen: the last four bytes count in ones, the whole beginning in fours."""
+        if predictor == 5:
+            return 4 * np.digitize(seen, [0.5, 2.5, 7.5, 31.5, 255.5])
+        return np.digitize(seen, [0.5, 3.5, 31.5])
+
     def learn(self, words: list[bytes], counts: np.ndarray, passes: int = 3, seed: int = 5) -> None:
         """Online gradient steps over the sample's words, each predicted from all other words."""
         order = np.random.default_rng(seed).permutation(len(words))
@@ -303,8 +335,8 @@ def _fit_mixer(vocabulary: DataFrame, distinct: int, table: np.ndarray) -> Mixer
 def _document_scores(chunk: pa.Table, words: pa.Table, total: int, distinct: int, discount: float) -> pa.Table:
     ids, valid, training = np.frombuffer(chunk.column("docs")[0].as_py(), np.int64).reshape(3, -1)
     bounds = np.frombuffer(chunk.column("bounds")[0].as_py(), np.int64)
-    tokens = np.frombuffer(chunk.column("tokens")[0].as_py(), np.uint32).astype(np.int64)
-    order = np.argsort(words.column("hash").to_numpy().view(np.uint64))
+    tokens = _stretch(chunk.column("tokens")[0].as_py()).astype(np.int64)
+    order = np.argsort(words.column("hash").to_numpy().view(np.uint64))[_stretch(chunk.column("ranks")[0].as_py())]
     count, logp = words.column("c").to_numpy()[order], words.column("logp").to_numpy()[order]
     base = np.log10((count + 1) / (total + 1 * (distinct + 1)))
     start = bounds[:-1]
@@ -355,9 +387,9 @@ def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id"
     id train. Without training documents every count is 0 and the model is untaught.
     An empty table gives an empty result; repeated rows are rows like others.
     """
-    parts = materialise(chunked(docs, id_col, text_col, train), "chunks")
+    parts = materialise(chunked(docs, id_col, text_col, train), "chunks", compression="zstd")
     words = parts.where("hash is not null").select("chunk", "hash", "word", "n")
-    vocabulary = materialise(words.groupBy("hash").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "vocabulary")
+    vocabulary = materialise(words.groupBy("hash").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "vocabulary", compression="zstd")
     of = lambda condition: F.count(F.when(F.expr(condition), 1))
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), of("c > 0"), of("c = 1"), of("c = 2")).first()
     total, distinct, once, twice = map(int, sums)
@@ -372,7 +404,7 @@ def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id"
 
     rated = materialise(vocabulary.select("hash", "c", "word").mapInArrow(rate, "hash long, c long, logp double"), "rated")
     found = words.select(F.col("chunk").alias("of_chunk"), "hash").join(rated, "hash")
-    chunks = parts.where("hash is null").select("chunk", "docs", "bounds", "tokens")
+    chunks = parts.where("hash is null").select("chunk", "docs", "bounds", "tokens", "ranks")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         return _document_scores(left, right, total, distinct, discount)
