@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.store import lookup_join, materialise, text_or_empty
@@ -29,8 +29,8 @@ from waymark.operators.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Buckets up to this size have their remaining pairs compared; larger ones are refined by a second band.
-SMALL_BUCKET = 32
+#: Buckets up to this size have their remaining pairs compared; larger ones get more hubs.
+SMALL_BUCKET, HUBS = 16, 8
 #: Members of a hub that are verified together; a hub with more is dealt out again with its text.
 HUB_SHARE = 32
 
@@ -213,18 +213,19 @@ def near_duplicates(
         known.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "copies"
     )
     named = materialise(
-        lookup_join(known, copies, ["hi", "lo"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands"), "named"
+        lookup_join(known, copies, ["hi", "lo"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", "bands"), "named"
     )
-    banded = named.where("id = rep").select("rep", F.explode("bands").alias("band")).distinct()
+    banded = named.where("id = rep").select("rep", "n", F.explode("bands").alias("band")).distinct()
     banded = materialise(banded, "banded")
     buckets = materialise(
-        banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets"
+        banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets"
     )
     in_buckets = materialise(lookup_join(banded, buckets, ["band"], "inner"), "in_buckets")
-    first = materialise(in_buckets.where("rep <> hub").select("hub", F.col("rep").alias("id")).distinct(), "pairs")
+    sized = in_buckets.where(_close(F.col("n"), F.col("hub.n"), similarity) & (F.col("rep") != F.col("hub.rep")))
+    first = materialise(sized.select(F.col("hub.rep").alias("hub"), F.col("rep").alias("id")).distinct(), "pairs")
     links = verify(first, docs, id_col, text_col, shingle_words, similarity)
     parts = materialise(connected_components(links), "parts")
-    rest = materialise(_unsettled(in_buckets, parts).join(first, ["hub", "id"], "left_anti"), "rest")
+    rest = materialise(_unsettled(in_buckets, parts, similarity).join(first, ["hub", "id"], "left_anti"), "rest")
     if rest.take(1):
         links = links.unionByName(verify(rest, docs, id_col, text_col, shingle_words, similarity))
         parts = connected_components(links)
@@ -248,31 +249,32 @@ def near_duplicates(
     return settled.unionByName(nameless)
 
 
-def _unsettled(in_buckets: DataFrame, parts: DataFrame) -> DataFrame:
+def _close(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two shingle counts allow that similarity: their ratio bounds it from above."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
+def _unsettled(in_buckets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (hub, id) left to compare: members of one bucket that the first links left in different parts.
 
-    Small buckets give all such pairs. The members of a large one are dealt by a
-    second band they share, which false candidates hardly do; each of those smaller
-    buckets is treated alike, or has one hub drawn by hash if still large.
+    Small buckets give all such pairs. In a large one, every member is compared with
+    ``HUBS`` more hubs, drawn by hash for each bucket, wherever the parts differ.
     """
     known = lookup_join(in_buckets, parts.select(F.col("node").alias("rep"), "component"), ["rep"], "left")
-    known = materialise(known.select("rep", "band", "m", F.coalesce("component", "rep").alias("part")), "known")
+    known = materialise(known.select("rep", "n", "band", "m", F.coalesce("component", "rep").alias("part")), "known")
     open_buckets = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
     open_buckets = materialise(open_buckets, "open")
     members = materialise(lookup_join(known, open_buckets, ["band"], "left_semi"), "members")
-    small = members.where(F.col("m") <= SMALL_BUCKET).select("rep", "part", F.col("band").alias("key"), F.lit(0).cast("long").alias("key2"))
+    few = materialise(members.where(F.col("m") <= SMALL_BUCKET).select("band", "rep", "n", "part"), "few")
+    other = few.select(F.col("rep").alias("id"), F.col("n").alias("n2"), F.col("part").alias("part2"), "band")
+    matched = few.join(other, "band").where(F.expr("rep < id and part <> part2") & _close(F.col("n"), F.col("n2"), similarity))
+    pairs = matched.select(F.col("rep").alias("hub"), "id")
     large = members.where(F.col("m") > SMALL_BUCKET)
-    shared = large.alias("a").join(members.select(F.col("rep").alias("rep2"), F.col("band").alias("band2")), F.col("a.rep") == F.col("rep2"))
-    finer = shared.where("band2 <> band").select("rep", "part", F.col("band").alias("key"), F.col("band2").alias("key2"))
-    sizes = finer.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep", "key2")).alias("hub"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    sizes = materialise(sizes.where("lo < hi").drop("lo", "hi"), "sizes")
-    finer = materialise(lookup_join(finer, sizes, ["key", "key2"], "inner"), "finer")
-    stars = finer.where((F.col("m") > SMALL_BUCKET) & (F.col("rep") != F.col("hub"))).select(
-        F.least("rep", "hub").alias("hub"), F.greatest("rep", "hub").alias("id")
-    )
-    few = materialise(small.unionByName(finer.where(F.col("m") <= SMALL_BUCKET).select("rep", "part", "key", "key2")), "few")
-    other = few.select(F.col("rep").alias("id"), F.col("part").alias("part2"), "key", "key2")
-    pairs = few.join(other, ["key", "key2"]).where("rep < id and part <> part2").select(F.col("rep").alias("hub"), "id")
+    drawn = [F.min_by(F.struct("rep", "n", "part"), F.xxhash64("rep", "band", F.lit(k))) for k in range(HUBS)]
+    hubs = materialise(large.groupBy("band").agg(F.array(*drawn).alias("hubs")), "hubs")
+    fitting = F.filter("hubs", lambda h: (h["part"] != F.col("part")) & _close(F.col("n"), h["n"], similarity))
+    met = lookup_join(large, hubs, ["band"], "inner").select("rep", F.explode(F.array_distinct(fitting)).alias("h"))
+    stars = met.select(F.least("rep", "h.rep").alias("hub"), F.greatest("rep", "h.rep").alias("id"))
     return pairs.unionByName(stars).distinct()
 
 
