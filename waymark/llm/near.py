@@ -33,6 +33,7 @@ BANDS, ROWS = 32, 6
 SMALL_BUCKET, HUBS = 16, 8
 #: Members of a hub that are verified together; a hub with more is dealt out again with its text.
 HUB_SHARE = 32
+TEXTS_AT_ONCE = 256
 
 
 def _units(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -51,7 +52,19 @@ def _units(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def dart_signatures(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """(texts, k) dart ids: each coordinate's earliest dart; a text without shingles has zeros."""
+    """(texts, k) dart ids: each coordinate's earliest dart; a text without shingles has zeros.
+
+    Every text gets about the same number of darts however short it is, so memory
+    is bounded by the texts handled at a time.
+    """
+    parts = [np.zeros((0, k), np.uint64)]
+    for a in range(0, len(bounds) - 1, TEXTS_AT_ONCE):
+        own = bounds[a : a + TEXTS_AT_ONCE + 1]
+        parts.append(_signatures(hashes[own[0] : own[-1]], own - own[0], k))
+    return np.concatenate(parts)
+
+
+def _signatures(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     texts = len(bounds) - 1
     ids = np.zeros(texts * k, np.uint64)
     sizes = np.diff(bounds)
@@ -68,7 +81,7 @@ def dart_signatures(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarra
         turn = np.uint64(0)
         while len(region):
             turn += np.uint64(1)
-            drop = mix(region + turn * np.uint64(0xD1B54A32D192ED03))
+            drop = mix(region + np.array([0xD1B54A32D192ED03], np.uint64) * turn)
             rank = rank - np.log(((drop >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             seen = rank < cut
             region, rank, cut, owner, drop = region[seen], rank[seen], cut[seen], owner[seen], drop[seen]
