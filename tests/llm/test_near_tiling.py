@@ -67,6 +67,38 @@ def test_edges(odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def edited(rng, words, changes, tag):
+    copy = words[:]
+    for i in rng.sample(range(len(words)), changes):
+        copy[i] = f"{tag}x{i}"
+    return copy
+
+
+def test_edits_of_one_original_are_one_class(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, edited(rng, base, 7, i)) for i in range(2000)] + [(2000, base)]
+    whole = shingle_set(" ".join(base))
+    assert all(2 * sum((whole & (s := shingle_set(" ".join(w)))).values()) >= 8 / 9 * (sum(whole.values()) + sum(s.values())) for _, w in docs)
+    got = near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"))
+    assert {r.class_id for r in got.collect()} == {0}
+
+
+def test_large_buckets_are_finished(spark, monkeypatch):
+    rng = random.Random(7)
+    template = [f"w{i}" for i in range(200)]
+    docs = []
+    for f in range(12):
+        base = edited(rng, template, 4, f"f{f}")
+        docs += [edited(rng, base, rng.randrange(0, 4), f"d{f}n{i}") for i in range(6)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    df, expected = spark.createDataFrame(docs, "doc_id long, text string"), brute_classes(docs)
+    monkeypatch.setattr("waymark.llm.near.HUBS", 1)
+    monkeypatch.setattr("waymark.llm.near.SMALL_BUCKET", 4)
+    monkeypatch.setattr("waymark.llm.near.BLOCK_TEXTS", 20)
+    assert 1 < len(set(expected.values())) and {r.doc_id: r.class_id for r in near_duplicates(df, bands=64, rows=3).collect()} == expected
+
+
 def brute_tiles(item, doc, m):
     item, doc, total = list(item), list(doc), 0
     while True:

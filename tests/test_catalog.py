@@ -1,5 +1,6 @@
 """Every driver query that has SQL gives the same rows in DuckDB; components against union-find."""
 
+import hashlib
 import os
 
 import duckdb
@@ -50,3 +51,11 @@ def test_components(spark, edges):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for e in edges for x in e}
+
+
+def test_fingerprint_is_of_the_whole_page(spark, tmp_path):
+    pages = [(1, "a" * 524_288 + "x"), (2, "a" * 524_288 + "y"), (3, "short")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = entry.queries()["body_fingerprint"](spark, str(tmp_path)).collect()
+    expected = {i: (hashlib.sha256(html.encode()).hexdigest(), min(len(html), 524_288)) for i, html in pages}
+    assert {r.page_id: (r.body_sha256, r.body_length) for r in rows} == expected

@@ -7,9 +7,10 @@ is below a cut-off that makes about k ln k of them. Each dart belongs to one of
 coordinates, and a coordinate keeps its earliest dart. Two texts agree on a
 coordinate with a probability equal to their weighted Jaccard similarity.
 
-Coordinates are joined in bands; texts in one bucket are compared with one hub of
-the bucket, not with each other, and every candidate link is verified on the
-whole texts' multisets.
+Coordinates are joined in bands; texts in one bucket are compared with hubs of the
+bucket first, and with each other only where that leaves them in different classes.
+In the end every pair of a bucket is verified on the whole texts' multisets, joined
+by verified links, or ruled out by its shingle counts.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from waymark.operators.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Buckets up to this size have their remaining pairs compared; larger ones get more hubs.
+#: Buckets up to this size have their remaining pairs compared at once; larger ones get more hubs first.
 SMALL_BUCKET, HUBS = 16, 8
+#: Members and shingles of a block of a large bucket; blocks are compared two by two.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 200_000
 #: Members of a hub that are verified together; a hub with more is dealt out again with its text.
 HUB_SHARE = 32
 TEXTS_AT_ONCE = 256
@@ -230,18 +233,26 @@ def near_duplicates(
     )
     banded = named.where("id = rep").select("rep", "n", F.explode("bands").alias("band")).distinct()
     banded = materialise(banded, "banded")
-    buckets = materialise(
-        banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets"
-    )
+    buckets = materialise(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     in_buckets = materialise(lookup_join(banded, buckets, ["band"], "inner"), "in_buckets")
-    sized = in_buckets.where(_close(F.col("n"), F.col("hub.n"), similarity) & (F.col("rep") != F.col("hub.rep")))
-    first = materialise(sized.select(F.col("hub.rep").alias("hub"), F.col("rep").alias("id")).distinct(), "pairs")
+    meets = materialise(in_buckets.groupBy("rep").agg(F.sum("m").alias("meets")), "meets")
+    in_buckets = materialise(lookup_join(in_buckets, meets, ["rep"], "inner"), "in_buckets")
+    hubs = materialise(in_buckets.groupBy("band").agg(F.max(F.struct("meets", "rep", "n")).alias("hub")), "hubs")
+    sized = lookup_join(in_buckets, hubs, ["band"], "inner").where(_close(F.col("n"), F.col("hub.n"), similarity) & (F.col("rep") != F.col("hub.rep")))
+    first = sized.groupBy("rep").agg(F.max("hub").alias("hub")).select(F.col("hub.rep").alias("hub"), F.col("rep").alias("id"))
+    first = materialise(first, "pairs")
     links = verify(first, docs, id_col, text_col, shingle_words, similarity)
     parts = materialise(connected_components(links), "parts")
     rest = materialise(_unsettled(in_buckets, parts, similarity).join(first, ["hub", "id"], "left_anti"), "rest")
     if rest.take(1):
         links = links.unionByName(verify(rest, docs, id_col, text_col, shingle_words, similarity))
-        parts = connected_components(links)
+        parts = materialise(connected_components(links), "parts")
+    still = materialise(_open_members(in_buckets.where(F.col("m") > SMALL_BUCKET), parts), "still")
+    if still.take(1):
+        late = _compare_blocks(still, docs, id_col, text_col, shingle_words, similarity)
+        if late.take(1):
+            links = links.unionByName(late)
+            parts = connected_components(links)
     equal = named.where("id <> rep").select("id", "rep").distinct()
     # ids under several texts tie their classes together
     torn = equal.join(named.where("id = rep").select("id").distinct(), "id", "left_semi")
@@ -267,30 +278,89 @@ def _close(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
+def _open_members(in_buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (band, m, rep, n, meets, part) of the buckets whose members are in different parts."""
+    known = lookup_join(in_buckets, parts.select(F.col("node").alias("rep"), "component"), ["rep"], "left")
+    known = materialise(known.select("rep", "n", "band", "m", "meets", F.coalesce("component", "rep").alias("part")), "known")
+    open_buckets = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
+    return lookup_join(known, materialise(open_buckets, "open"), ["band"], "left_semi")
+
+
 def _unsettled(in_buckets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (hub, id) left to compare: members of one bucket that the first links left in different parts.
+    """Pairs (hub, id) to compare next: members of one bucket that the first links left in different parts.
 
     Small buckets give all such pairs. In a large one, every member is compared with
-    ``HUBS`` more hubs, drawn by hash for each bucket, wherever the parts differ.
+    ``HUBS`` more hubs wherever the parts differ: of each of as many shares by hash,
+    the member that meets most others in all its buckets, as the original of a family does.
     """
-    known = lookup_join(in_buckets, parts.select(F.col("node").alias("rep"), "component"), ["rep"], "left")
-    known = materialise(known.select("rep", "n", "band", "m", F.coalesce("component", "rep").alias("part")), "known")
-    open_buckets = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
-    open_buckets = materialise(open_buckets, "open")
-    members = materialise(lookup_join(known, open_buckets, ["band"], "left_semi"), "members")
+    members = materialise(_open_members(in_buckets, parts), "members")
     few = materialise(members.where(F.col("m") <= SMALL_BUCKET).select("band", "rep", "n", "part"), "few")
     other = few.select(F.col("rep").alias("id"), F.col("n").alias("n2"), F.col("part").alias("part2"), "band")
     matched = few.join(other, "band").where(F.expr("rep < id and part <> part2") & _close(F.col("n"), F.col("n2"), similarity))
     pairs = matched.select(F.col("rep").alias("hub"), "id")
     large = members.where(F.col("m") > SMALL_BUCKET)
-    drawn = [F.min_by(F.struct("rep", "n", "part"), F.xxhash64("rep", "band", F.lit(k))) for k in range(HUBS)]
-    hubs = materialise(large.groupBy("band").agg(F.array(*drawn).alias("hubs")), "hubs")
+    share = F.pmod(F.xxhash64("rep", "band"), F.lit(HUBS))
+    drawn = [F.max_by(F.struct("rep", "n", "part"), F.when(share == k, F.struct("meets", "rep"))) for k in range(HUBS)]
+    hubs = materialise(large.groupBy("band").agg(F.array_compact(F.array(*drawn)).alias("hubs")), "hubs")
     fitting = F.filter("hubs", lambda h: (h["part"] != F.col("part")) & _close(F.col("n"), h["n"], similarity))
     met = lookup_join(large, hubs, ["band"], "inner").select("rep", F.explode(F.array_distinct(fitting)).alias("h"))
-    stars = met.select(F.least("rep", "h.rep").alias("hub"), F.greatest("rep", "h.rep").alias("id"))
+    stars = met.select(F.col("h.rep").alias("hub"), F.col("rep").alias("id"))
     return pairs.unionByName(stars).distinct()
 
 
+def _compare_blocks(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float) -> DataFrame:
+    """Links (src, dst) among the members of open large buckets, after every pair of a bucket was settled.
+
+    A bucket is dealt into blocks, and each two blocks meet in one task. A pair is
+    passed over if verified links join it already or if its shingle counts are too far
+    apart, and left to the least bucket that holds both.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    counted = materialise(members.groupBy("band").agg(blocks.cast("long").alias("blocks")), "blocks")
+    within = materialise(members.groupBy("rep").agg(F.collect_set("band").alias("within")), "within")
+    named = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
+    texts = materialise(lookup_join(named, within.select("rep"), ["rep"], "left_semi").distinct().join(within, "rep"), "block_texts")
+    placed = lookup_join(members.select("band", "rep", "part").distinct(), counted, ["band"], "inner")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = materialise(met.select("band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "part"), "met")
+
+    def compare(group: pa.Table) -> pa.Table:
+        texts_ = without_nulls(group.column("text").combine_chunks())
+        if isinstance(texts_, pa.ChunkedArray):
+            texts_ = pa.concat_arrays(texts_.chunks)
+        sets = []
+        for at, to in slices(texts_):
+            parts, bounds = shingles(split_words(texts_, at, to), size)
+            sets += [_multiset(parts[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        counts = [int(s[1].sum()) for s in sets]
+        band, rep, own, part = group.column("band")[0].as_py(), *(group.column(c).to_pylist() for c in ("rep", "own", "part"))
+        crossed = group.column("a")[0] != group.column("b")[0]
+        within_ = [set(x) for x in group.column("within").to_pylist()]
+        parent = {p: p for p in part}
+
+        def root(p: int) -> int:
+            while parent[p] != p:
+                parent[p] = p = parent[parent[p]]
+            return p
+
+        order = sorted(range(len(sets)), key=counts.__getitem__)
+        linked: list[tuple[int, int]] = []
+        for k, x in enumerate(order):
+            for y in order[k + 1 :]:
+                if counts[x] < least * counts[y]:
+                    break
+                if (crossed and own[x] == own[y]) or root(part[x]) == root(part[y]) or min(within_[x] & within_[y]) != band:
+                    continue
+                if weighted_jaccard(sets[x], sets[y]) >= least:
+                    linked.append((rep[x], rep[y]))
+                    parent[root(part[x])] = root(part[y])
+        pairs = np.asarray(linked, np.int64).reshape(-1, 2)
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+
+    return materialise(met.join(texts, "rep").groupBy("band", "a", "b").applyInArrow(compare, "src long, dst long").distinct(), "late")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` with only the least id of each class; all columns stay, and rows with a null id too."""
     classes = near_duplicates(docs, id_col, text_col, **parameters)

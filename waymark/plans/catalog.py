@@ -256,8 +256,9 @@ def page_links_distinct(spark, sf_dir):
 
 @query("SELECT page_id, sha256(html) AS body_sha256, CAST(least(strlen(html), 524288) AS BIGINT) AS body_length FROM pages")
 def body_fingerprint(spark, sf_dir):
-    body = F.substring(F.col("html").cast("binary"), 1, int(RULES.get("max_body_bytes")))
-    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(body, 256).alias("body_sha256"), F.octet_length(body).cast("long").alias("body_length"))
+    body = F.col("html").cast("binary")
+    length = F.least(F.octet_length(body), F.lit(int(RULES.get("max_body_bytes"))))
+    return _table(spark, sf_dir, "pages").select("page_id", F.sha2(body, 256).alias("body_sha256"), length.cast("long").alias("body_length"))
 
 
 @query(
