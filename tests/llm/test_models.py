@@ -128,6 +128,15 @@ def test_repeated_entities(spark, odd, none):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
 
 
+def test_many_bare_repeats_of_a_number():
+    field = pii.Field({"shape": Counter({("n11+", 4): 50, ("n10", 0): 5000}), "chain": Counter({("4", 4): 2000}), "skip": Counter({("4", 4): 2000, ("1", 1): 2000})})
+    for repeats in (1, 5, 6, 50):
+        text = "Call +1 (974) 555-3436 now." + " Or dial 974-555-3436 there." * repeats
+        assert len(pii.added_spans(text, pii.base_spans(text), field)) == repeats
+    clean = "Serial 974-555-3436 here." * 50 + " Call +1 (202) 555-0188 now."
+    assert pii.added_spans(clean, pii.base_spans(clean), field) == []
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>"

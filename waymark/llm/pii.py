@@ -5,6 +5,8 @@ graph per document: its nodes are the base spans (their label is known) and othe
 number-like or address-like strings (their label is hidden). Neighbours in the
 text share a chain potential; strings with the same key (the same digits, the
 same address or mailbox name) share a skip potential however far apart they are.
+Mentions of one string are one variable, observed once, so that repeats of a number
+don't outvote the label that it has elsewhere.
 Loopy belief propagation spreads the known labels, so a number that is a phone
 number in one place is one elsewhere. All potentials are smoothed counts over
 the whole corpus (piecewise training).
@@ -41,7 +43,8 @@ _SPOKEN = re.compile(
     r"([A-Za-z0-9._%+-]{2,64}) ?(?:\(at\)|\[at\]|@) ?([A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,8})", re.I
 )
 _WORD = re.compile(r"[A-Za-z0-9._%+-]{5,}")
-ROUNDS, THRESHOLD = 10, 0.5
+#: Rounds end when no message moves by more than SETTLED; ROUNDS only stops graphs that never settle.
+ROUNDS, SETTLED, THRESHOLD = 1000, 1e-4, 0.5
 
 Span = tuple[int, int, int]
 
@@ -179,6 +182,42 @@ def _edges(nodes: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     return chain, sorted(skip)
 
 
+def _variables(nodes: list) -> tuple[list[int], list, dict[tuple[int, int], float], list[tuple[int, int]]]:
+    """Each node's variable, a node of each variable, weighted chain edges, and skip edges.
+
+    Nodes of equal label, keys and shape are one variable. A hidden one is tied to every
+    label known for one of its keys, and to the hidden one before it; the chain edges of a
+    variable weigh no more than those of a single mention. All is linear in the nodes.
+    """
+    number: dict[tuple, int] = {}
+    variables, variable = [], []
+    for node in nodes:
+        at = number.setdefault(node[2:], len(variables))
+        if at == len(variables):
+            variables.append(node)
+        variable.append(at)
+    mentions = Counter(variable)
+    met = Counter((min(a, b), max(a, b)) for a, b in zip(variable[:-1], variable[1:], strict=True) if a != b)
+    chain = {(a, b): n / max(mentions[a], mentions[b]) for (a, b), n in met.items()}
+    known: dict[str, dict[int, int]] = {}
+    for i, node in enumerate(variables):
+        if node[2] > 0:
+            for key in node[3]:
+                known.setdefault(key, {}).setdefault(node[2], i)
+    last: dict[str, int] = {}
+    skip = set()
+    for i, node in enumerate(variables):
+        if node[2] < 0:
+            ties: dict[int, int] = {}
+            for key in node[3]:
+                ties = known.get(key, {}) | ties
+                if key in last:
+                    skip.add((last[key], i))
+                last[key] = i
+            skip.update((j, i) for j in ties.values())
+    return variable, variables, chain, sorted(skip)
+
+
 def learn(docs: DataFrame, text_col: str = "text") -> dict[str, Counter]:
     """Counts over all documents: (shape, label), (label, label) along chains, and along skips.
 
@@ -262,7 +301,10 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
         top = fresh.max(1)
         fresh = top + np.log(np.exp(fresh - top[:, None, :]).sum(1))
         fresh -= fresh.max(1, keepdims=True)
-        message = 0.3 * message + 0.7 * fresh
+        step = 0.7 * (fresh - message)
+        message = message + step
+        if np.abs(step).max() < SETTLED:
+            break
     total = unary.copy()
     np.add.at(total, b, message)
     total -= total.max(1, keepdims=True)
@@ -276,13 +318,14 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     if not any(n[2] < 0 for n in nodes):
         return []
     k = len(LABELS)
-    unary = np.stack([field.observe(n[4]) if n[2] < 0 else np.where(np.arange(k) == n[2], 0.0, -30.0) for n in nodes])
-    chain, skip = _edges(nodes)
-    edges = np.asarray(chain + skip, np.int64).reshape(-1, 2)
-    potentials = np.concatenate([np.broadcast_to(field.chain * 0.2, (len(chain), k, k)), np.broadcast_to(field.skip, (len(skip), k, k))])
+    variable, variables, chain, skip = _variables(nodes)
+    unary = np.stack([field.observe(n[4]) if n[2] < 0 else np.where(np.arange(k) == n[2], 0.0, -30.0) for n in variables])
+    edges = np.asarray([*chain, *skip], np.int64).reshape(-1, 2)
+    weight = np.asarray(list(chain.values())).reshape(-1, 1, 1)
+    potentials = np.concatenate([field.chain * 0.2 * weight, np.broadcast_to(field.skip, (len(skip), k, k))])
     p = beliefs(unary, edges, potentials) if len(edges) else np.exp(unary) / np.exp(unary).sum(1, keepdims=True)
     picks = []
-    for node, q in zip(nodes, p, strict=True):
+    for node, q in zip(nodes, p[variable], strict=True):
         kind = int(q.argmax())
         if node[2] < 0 and kind and q[kind] > THRESHOLD:
             picks.append((-float(q[kind]), node[0] - node[1], kind, node[0], node[1]))
