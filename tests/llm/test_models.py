@@ -137,6 +137,12 @@ def test_many_bare_repeats_of_a_number():
     assert pii.added_spans(clean, pii.base_spans(clean), field) == []
 
 
+def test_self_closing_svg_and_math():
+    for tag in ("<svg/>", "<svg class='i' />", '<math display="block"/>'):
+        assert main_text(f"<body><article><p>Before it.</p>{tag}<p>After it.</p></article></body>") == "Before it. After it."
+    assert main_text("<body><article><p>Before it.</p><svg><text>drawn</text></svg><p>After it.</p></article></body>") == "Before it. After it."
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div>"

@@ -92,14 +92,15 @@ def parse(page: str) -> _Node:
             close = page.find("-->" if match[1] else ">", at)
             at = end if close < 0 else close + (3 if match[1] else 1)
             continue
-        tag, attributes = match[3].lower(), {}
+        tag, attributes, closed = match[3].lower(), {}, False
         while at < end and page[at] != ">":
             found = _ATTRIBUTE.match(page, at)
             if found is None or found.end() == at:
+                closed = page[at] == "/"
                 at += 1
                 continue
             attributes.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
-            at = found.end()
+            at, closed = found.end(), False
         at += 1
         if match[2]:
             node = here
@@ -110,6 +111,8 @@ def parse(page: str) -> _Node:
             continue
         if tag in ("html", "body") and here.parent is None and tag == "html":
             continue
+        if closed and tag in ("svg", "math"):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
