@@ -1,16 +1,14 @@
 """Toxicity, context mixing, personal data, main text and the pipeline."""
 
 import hashlib
-import math
 import random
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import mixing, pii, toxicity
+from waymark.llm import pii, toxicity
 from waymark.llm.main_text import extract_main_text, main_text
 
 
@@ -41,52 +39,6 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.drop_toxic(odd, marks.limit(0), threshold=0.6).columns == odd.columns
 
 
-def test_scores_are_base_and_bits(spark, odd, none):
-    rng = random.Random(3)
-    bits = ["ba", "to", "ri", "ne", "sol"]
-    word = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(1, 4)))
-    docs = []
-    for i in range(300):
-        own = [word() for _ in range(12)]
-        docs.append((i, " ".join(rng.choice(own) for _ in range(rng.randrange(20, 80)))))
-    docs += [(300, None), (301, "Ba  BA\tunseen"), (None, "ba")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = {r.doc_id: r for r in mixing.score_documents(df, "id % 7 <> 2").collect()}
-    tokens = {i: [*(t or "").lower().split(), ""] for i, t in docs}
-    seen = Counter(w for i, ws in tokens.items() if i is None or i % 7 != 2 for w in ws)
-    n, v = sum(seen.values()), len(seen)
-    for i, ws in tokens.items():
-        r = rows[i]
-        assert math.isclose(r.base_score, sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(seen[w] > 0 for w in ws), n)
-        assert r.held_out == (i is not None and i % 7 == 2) and r.score < 0
-    held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert mixing.score_documents(none).count() == 0
-    assert mixing.score_documents(odd, "false").count() == odd.count()
-
-
-def test_spelling_is_a_distribution():
-    table = np.zeros(2 * mixing._STARTS[-1] + (2 << mixing.BLOCK_BITS), np.uint8)
-    model = mixing.Mixer(table)
-    model.learn([b"abc", b"abd", b"x"] * 20, np.array([1, 2, 3] * 20))
-    one = [bytes([c]) for c in range(256) if c != 32]
-    # the empty word, and everything that starts with a byte, share the first byte's eight decisions
-    first = np.zeros(256)
-    lot = mixing.spell([bytes([c]) for c in range(256)])
-    cost = np.zeros(len(lot.data))
-    for bit in range(8):
-        odds, gate, bits = model.inputs(lot, bit)
-        mixed = np.einsum("ij,ij->i", model.weights[gate * 8 + bit], odds)
-        column = np.clip((mixed + 12) * 2, 0, 47.999)
-        low = column.astype(int)
-        curve = model.refine[gate, low] * (1 - column + low) + model.refine[gate, low + 1] * (column - low)
-        final = np.clip(0.5 * (mixed + curve), -16, 16)
-        cost += np.logaddexp(0, np.where(bits > 0, -final, final))
-    first = np.exp(-cost[::2])
-    assert len(one) == 255 and math.isclose(first.sum(), 1, rel_tol=1e-9)
-
-
 def brute_pii(text):
     out = []
     patterns = [

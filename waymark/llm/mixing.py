@@ -1,127 +1,376 @@
-"""Language-model scores by logistic context mixing over hashed contexts.
-
-A text is a sequence of words, each spelt as its bytes and a closing space; the
-end of the text is an empty word. Every byte is eight binary decisions. Several
-predictors keep counts of zeros and ones per hashed context (place in the word,
-the last one to four bytes, the whole beginning of the word); their log odds are
-mixed by weights that a gate picks by how much the longer contexts have seen,
-learnt online, and an adaptive map refines the result. A word seen in training
-gets its count less a discount, and what the discounts free goes to the spelt
-probability of all words. The spelling is therefore learnt from distinct words, as
-it is needed for rare and new ones. Within a text, a mixture of experts follows how far
-spelling, counts, or the text's own repetitions predict it.
-
-Counts come from all words of all training documents. As the decisions of a word depend on the
-word alone, each distinct word is coded once; documents then look their words up.
-Documents are read once, into chunks of word numbers; a chunk meets its words'
-scores in one task, so memory is bounded by the chunk.
+"""Language-model scores by online logistic context mixing over hashed contexts.
+
+A text is a sequence of words and a closing end. Every token becomes binary decisions,
+each predicted by several hashed-context bit predictors whose log odds a gate's weights mix:
+
+1. If this text has had the last two words before: is the token what followed them then?
+   (Kinds by the length of the repetition so far.)
+2. Otherwise, the steps down a Huffman tree over cells. A frequent word has a cell of its
+   own, others share cells of about equal weight, and one cell holds rare and unknown words.
+   Predictors: the node; the node with the last word, with the last two words, and with
+   the cells of the last two words. What remains is the word's share of its cell.
+3. A word that training hasn't seen is spelt, byte by byte and bit by bit, by predictors of
+   the place in the word, the last one to four bytes, and the whole beginning of the word.
+
+The weights are learnt online over every decision of every training text (in 2) and
+every distinct training word (in 3), each predicted before it is counted. Within a text, a Bayesian
+mixture of experts follows how far the text repeats its own words.
+
+Counts of words are exact and grow with the corpus: the most frequent words (a bounded
+number of rows) go to every task, the others are joined. Hashed tables grow up to a
+size that memory allows. A text is read in windows of bounded size.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import materialise, text_or_empty
-from waymark.llm.words import mix, slices, split_words, without_nulls
-
-#: Text of a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 16 << 20
-#: Predictors: place in the word, orders 1 to 4, whole beginning; slots of each as a power of two.
-SLOT_BITS = (14, 16, 18, 20, 21, 23)
-#: The whole-beginning predictor counts words seen at least so often in training.
-PREFIX_MIN = 2
-BLOCK_BITS = 16
-#: Bound of the sample of distinct words on which the mixer learns.
-MIXER_WORDS = 30_000
-#: Experts of the mixture within a text: whether a word's own count is used, and the weight of the text's cache.
-EXPERTS = ((False, 0.0), (True, 0.0), (True, 0.03), (True, 0.1), (True, 0.25), (True, 0.5))
-_PRIOR = (0.4, 0.4, 0.4, 0.3, 0.2, 0.08)
-_SIZES = tuple(1 << b for b in SLOT_BITS)
-_STARTS = tuple(int(x) for x in np.concatenate([[0], np.cumsum(_SIZES)]))
-_END_HASH = 0x2545F4914F6CDD1D
+from waymark.llm.bits import Learner, Mixer, Shape, merged, slot_bits
+from waymark.llm.store import lookup_join, materialise, text_or_empty
+from waymark.llm.words import Window, Words, lowered, mix, split_words, windows, without_nulls
+
+#: Text of a window; repetitions within a text are looked for in one window.
+WINDOW_BYTES = 1 << 20
+#: Bound of the words that every task holds, the most frequent ones.
+HEAD_WORDS = 1 << 20
+CELLS = 128
+#: Largest tables, as powers of two: last word, last two words, cells of the last two; and the six of spelling.
+WORD_BITS = (22, 22, 21)
+SPELLING_BITS = (14, 16, 18, 20, 21, 23)
+#: Experts of the mixture within a text: the weight of the text's own words so far.
+EXPERTS = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5)
+#: Training tokens and distinct words of a learner's task, at least, and the most tasks of a training pass.
+TASK_TOKENS, TASK_WORDS, TASKS = 2_000_000, 200_000, 16_384
+_MATCHES, _DEPTHS, _LOT = 6, 6, 8192
+_END = np.uint64(0x2545F4914F6CDD1D)
+_START = np.uint64(0x9FB21C651E98DF25)
 _K1, _K2, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+_A32, _B32 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 _LN10 = math.log(10)
-_CODES = np.round(2 ** (np.arange(256) / 8) - 1).astype(np.float64)
 
-_PARTS = "chunk long, docs binary, bounds binary, tokens binary, ranks binary, hash long, word binary, n long"
 
+@dataclass
+class Tokens:
+    """Tokens of one window: words of several texts, each closed by an end (unless it goes on)."""
+
+    first: np.ndarray
+    hashes: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    words: Words
+    word_at: np.ndarray
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def tokens_of(window: Window, before: tuple[np.uint64, np.uint64] = (_START, _START)) -> Tokens:
+    """``before``: the last two words, for a window that goes on from another. ``word_at`` is -1 at ends."""
+    words = split_words(window.texts, window.at, window.to)
+    sizes = np.diff(words.first)
+    if window.ends:
+        hashes = np.insert(words.hashes, words.first[1:], _END)
+        word_at = np.insert(np.arange(len(words.hashes)), words.first[1:], -1)
+        sizes = sizes + 1
+    else:
+        hashes, word_at = words.hashes, np.arange(len(words.hashes))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    one, two = np.empty_like(hashes), np.empty_like(hashes)
+    one[1:], two[2:] = hashes[:-1], hashes[:-2]
+    if len(hashes):
+        heads = first[:-1][sizes > 0]
+        seconds = first[:-1][sizes > 1] + 1
+        one[heads], two[heads], two[seconds] = _START, _START, _START
+        if not window.begins:
+            one[0], two[0] = before
+            two[1:2] = before[0]
+    return Tokens(first, hashes, one, two, words, word_at)
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes sorted by (part of the key's bits, index), and whether each has the key of the one before it."""
+    bits = np.uint64(max(1, int(len(key)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = np.sort((mix(key) & ~low) | np.arange(len(key), dtype=np.uint64))
+    same = np.concatenate([[False], (packed[1:] ^ packed[:-1]) <= low]) if len(packed) else np.zeros(0, bool)
+    return (packed & low).astype(np.int64), same
+
+
+def repeats(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: whether the text has had the last two words, whether their follower comes again, and the run of such hits before."""
+    owner = t.owner().astype(np.uint64)
+    order, same = _grouped((t.one * _K1 + t.two) * _K2 + owner)
+    earlier = np.full(len(order), -1)
+    earlier[order[1:]] = np.where(same[1:], order[:-1], -1)
+    has = earlier >= 0
+    hit = has & (t.hashes[earlier] == t.hashes)
+    at = np.arange(len(order))
+    broken = np.maximum.accumulate(np.where(hit, -1, at))
+    return has, hit, at - 1 - np.concatenate([[-1], broken[:-1]])[: len(at)]
+
+
+def _times(t: Tokens) -> np.ndarray:
+    """How often each token has occurred before in its text."""
+    order, same = _grouped(t.hashes * _K1 + t.owner().astype(np.uint64))
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(same, 0, at)) if len(at) else 0
+    return out
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
+@dataclass
+class Head:
+    """The most frequent words in an open-addressed table: count and cell by hash."""
 
-def _stretch(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    keys: np.ndarray
+    count: np.ndarray
+    cell: np.ndarray
+    shift: np.uint64
+    reach: int
 
+    @staticmethod
+    def of(hashes: np.ndarray, count: np.ndarray, cell: np.ndarray) -> Head:
+        order = np.argsort(hashes)
+        hashes, count, cell = hashes[order], count[order], cell[order]
+        bits = max(1, int(2 * len(hashes)).bit_length())
+        home = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.arange(len(hashes))
+        place = np.maximum.accumulate(home - at) + at if len(at) else at
+        size = max(1 << bits, int(place.max(initial=0)) + 1) + 1
+        keys, counts, cells = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.full(size, -1, np.int16)
+        keys[place], counts[place], cells[place] = hashes, count, cell
+        return Head(keys, counts, cells, np.uint64(64 - bits), int((place - home).max(initial=0)) + 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in the table, -1 for words that aren't in it."""
+        out = np.full(len(hashes), -1)
+        live = np.arange(len(hashes))
+        at, looked = (hashes >> self.shift).astype(np.int64), hashes
+        for step in range(self.reach):
+            key = self.keys.take(at + step, mode="clip")
+            hit = key == looked
+            out[live[hit]] = at[hit] + step
+            on = ~hit & (key != 0)
+            if not on.any():
+                break
+            live, at, looked = live[on], at[on], looked[on]
+        return out
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, train: str) -> DataFrame:
-    """Rows of chunks (documents, their word numbers) and rows of the chunks' words with training counts.
 
-    ``train`` is an SQL condition on ``id`` that marks training documents.
-    """
+@dataclass
+class Lexicon:
+    """Words, cells, and the tree over cells, from exact counts of the training texts."""
+
+    head: Head
+    total: int
+    distinct: int
+    discount: float
+    #: By cell: natural logarithm of its discounted weight; the last cell is that of rare and unknown words.
+    log_weight: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    shape: Shape
+    log_unknown: float = field(init=False)
+
+    def __post_init__(self):
+        free = self.discount * self.distinct
+        self.log_unknown = math.log(free) - float(self.log_weight[-1]) if self.distinct else 0.0
+
+    def cells(self, place: np.ndarray) -> np.ndarray:
+        """Cells of tokens by their places in the head; others are in the last cell."""
+        cell = self.head.cell.take(place)
+        return np.where(place >= 0, cell, len(self.length) - 1).astype(np.int32)
+
+
+def huffman(weights: list[float]) -> list[list[tuple[int, int]]]:
+    """Each leaf's path of (inner node, bit) from the root; ties go by number."""
+    paths: list[list[tuple[int, int]]] = [[] for _ in weights]
+    heap = [(w, i, [i]) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    made = 0
+    while len(heap) > 1:
+        (a, i, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, leaves in enumerate((left, right)):
+            for leaf in leaves:
+                paths[leaf].append((made, bit))
+        made += 1
+        heapq.heappush(heap, (a + b, i, left + right))
+    return [p[::-1] for p in paths]
+
+
+def make_lexicon(hashes: np.ndarray, count: np.ndarray, total: int, distinct: int, discount: float, cells: int = CELLS) -> Lexicon:
+    """``hashes`` and ``count``: the most frequent words; the totals are those of all training tokens."""
+    order = np.lexsort((hashes, -np.floor(np.log2(np.maximum(count, 1)))))
+    hashes, count = hashes[order], count[order].astype(np.int64)
+    middle = np.cumsum(count) - count / 2
+    drawn = np.floor(middle * cells / max(1, total)).astype(np.int64)
+    cell = np.unique(drawn, return_inverse=True)[1] if len(drawn) else drawn
+    n = int(cell.max(initial=-1)) + 1
+    weight = np.bincount(cell, count - discount, n) if n else np.zeros(0)
+    rest = total - count.sum() - discount * (distinct - len(count)) + discount * distinct
+    weight = np.append(weight, max(float(rest), 1e-9) if distinct else 1.0)
+    paths = huffman(weight.tolist())
+    longest = max(1, max(map(len, paths)))
+    node, bit = np.zeros((len(paths), longest), np.int32), np.zeros((len(paths), longest), np.uint8)
+    for i, path in enumerate(paths):
+        for j, (a, b) in enumerate(path):
+            node[i, j], bit[i, j] = a + _MATCHES, b
+    events = total * 7
+    bits = (12, *(slot_bits(events, 12, b) for b in WORD_BITS))
+    return Lexicon(
+        Head.of(hashes, count, cell.astype(np.int16)), total, distinct, discount, np.log(weight),
+        np.array([len(p) for p in paths]), node, bit, Shape(bits, (0.4, 0.4, 0.3, 0.4), _MATCHES + _DEPTHS, (1, 2)),
+    )
+
+
+@dataclass
+class Decisions:
+    """All binary decisions of a window's tokens, in their order."""
+
+    token: np.ndarray
+    node: np.ndarray
+    kind: np.ndarray
+    bit: np.ndarray
+    contexts: tuple[np.ndarray, np.ndarray, np.ndarray]
+    shape: Shape
+
+    def lots(self, tokens: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        """Ranges of decisions, with their slots in every predictor's table."""
+        cuts = np.searchsorted(self.token, np.arange(0, tokens + _LOT, _LOT))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = slice(a, b)
+            token, node = self.token[part], self.node[part]
+            turned = (node.astype(np.uint32) + np.uint32(1)) * _A32
+            slots = [node]
+            for context, bits in zip(self.contexts, self.shape.bits[1:], strict=True):
+                slots.append(((context.take(token) + turned) * _B32) >> np.uint32(32 - bits))
+            yield part, slots
+
+
+def decisions(t: Tokens, lexicon: Lexicon, cell: np.ndarray) -> tuple[Decisions, np.ndarray]:
+    """The decisions, and which tokens were told by a repetition alone."""
+    has, hit, run = repeats(t)
+    steps = np.where(hit, 0, lexicon.length[cell])
+    count = steps + has
+    token = np.repeat(np.arange(len(cell)), count)
+    place = np.arange(len(token)) - (np.cumsum(count) - count)[token]
+    asked = has[token]
+    depth = place - asked
+    width = lexicon.node.shape[1]
+    at = cell[token] * width + np.maximum(depth, 0)
+    match = depth < 0
+    bucket = np.minimum(np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])[np.minimum(run, 9)], _MATCHES - 1)[token]
+    node = np.where(match, bucket, lexicon.node.ravel()[at]).astype(np.int32)
+    kind = np.where(match, bucket, _MATCHES + np.minimum(depth, _DEPTHS - 1)).astype(np.int32)
+    bit = np.where(match, hit[token], lexicon.bit.ravel()[at]).astype(np.uint8)
+    before = np.concatenate([[0], cell[:-1] + 1]).astype(np.uint32)[: len(cell)]
+    before[t.one == _START] = 0
+    two = np.concatenate([[0], before[:-1]]).astype(np.uint32)[: len(cell)]
+    two[t.two == _START] = 0
+    high = lambda h: (h >> np.uint64(32)).astype(np.uint32)
+    contexts = (high(t.one), high(mix(t.one * _K1 + t.two)), (before * np.uint32(1 << 12) + two) * np.uint32(0xC2B2AE35))
+    return Decisions(token, node, kind, bit, contexts, lexicon.shape), hit
+
+
+class _Reader:
+    """Tokens window by window; the last two words go along from one window of a text to the next."""
+
+    def __init__(self) -> None:
+        self._last = (_START, _START)
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[Window, Tokens]]:
+        for window in windows(without_nulls(texts), WINDOW_BYTES):
+            t = tokens_of(window, self._last)
+            recent = [*((_START, _START) if window.begins else self._last[::-1]), *t.hashes[-2:]]
+            self._last = (recent[-1], recent[-2])
+            yield window, t
+
+
+# ---- words of the training texts
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """hash, c, word of every distinct token of a column of texts; the end is an empty word."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate([h for h, _, _ in held])
+        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        n = np.bincount(back, np.concatenate([n for _, n, _ in held])).astype(np.int64)
+        names = pa.concat_arrays([w for _, _, w in held]).take(pa.array(where))
+        whole = pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(n), names], names=["hash", "n", "word"])
+        for at in range(0, len(distinct), 1 << 16):
+            yield whole.slice(at, 1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ends = [], 0, 0
+        for batch in batches:
+            for window in windows(without_nulls(batch.column(0)), WINDOW_BYTES):
+                words = split_words(window.texts, window.at, window.to)
+                fresh, where, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                held.append((fresh, n, lowered(words, where)))
+                size, ends = size + len(fresh), ends + (window.to - window.at) * window.ends
+                if size > 1 << 19:
+                    yield from flush(held)
+                    held, size = [], 0
+        if ends:
+            held.append((np.array([_END]), np.array([ends]), pa.array([b""], pa.binary())))
+        if held:
+            yield from flush(held)
+
+    found = texts.mapInArrow(run, "hash long, n long, word binary")
+    return materialise(found.groupBy("hash").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "vocabulary", compression="zstd")
+
+
+def read_lexicon(vocabulary: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Lexicon, int]:
+    """The lexicon and the count from which on words are in its head (at most ``head_words``)."""
+    grade = F.floor(8 * F.log2("c")).cast("int")
+    grades = sorted(vocabulary.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.min("c").alias("c")).collect(), reverse=True)
+    once, twice = (next((r["n"] for r in grades if r["c"] == k), 0) for k in (1, 2))
+    distinct, total = sum(r["n"] for r in grades), sum(r["s"] for r in grades)
+    least, rows = (grades[0]["c"] + 1 if grades else 1), 0
+    for r in grades:
+        rows += r["n"]
+        if rows > head_words:
+            break
+        least = r["c"]
+    head = vocabulary.where(F.col("c") >= least).select("hash", "c").toArrow()
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    hashes = head.column("hash").to_numpy().view(np.uint64)
+    return make_lexicon(hashes, head.column("c").to_numpy(), total, distinct, discount), int(least)
+
+
+def learn_words(texts: DataFrame, lexicon: Lexicon) -> Mixer:
+    """The mixer of the decisions on words, learnt online over all of ``texts``."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        known, reader = shared.value, _Reader()
+        learner = Learner(known.shape)
         for batch in batches:
-            texts = without_nulls(batch.column(1))
-            ids = batch.column(0)
-            for at, to in slices(texts, CHUNK_BYTES):
-                part = texts.slice(at, to - at)
-                hashes, counts, spelt = [], [], {}
-                for a, b in slices(part):
-                    words = split_words(part, a, b)
-                    sizes = np.diff(words.first)
-                    with_end = np.insert(words.hashes, words.first[1:], np.uint64(_END_HASH))
-                    hashes.append(with_end)
-                    counts.append(sizes + 1)
-                    fresh, where = np.unique(words.hashes, return_index=True)
-                    spelt[len(hashes)] = (fresh, words.starts[where], words.ends[where], words.raw)
-                counts_ = np.concatenate(counts)
-                bounds = np.concatenate([[0], np.cumsum(counts_)])
-                distinct, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-                training = batch.column(2).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)
-                n = np.bincount(tokens[np.repeat(training, counts_)], minlength=len(distinct))
-                # frequent words get small numbers, which compress well
-                by_rank = np.argsort(-np.bincount(tokens, minlength=len(distinct)), kind="stable")
-                rank = np.empty(len(distinct), np.int64)
-                rank[by_rank] = np.arange(len(distinct))
-                names = [b""] * len(distinct)
-                for fresh, starts, ends, raw in spelt.values():
-                    data = raw.tobytes().lower()
-                    for i, s, e in zip(np.searchsorted(distinct, fresh).tolist(), starts.tolist(), ends.tolist(), strict=True):
-                        names[i] = data[s:e]
-                blank = lambda k, t: pa.nulls(k, t)
-                known = ids.slice(at, to - at)
-                doc_part = [known.fill_null(0).cast(pa.int64()).to_numpy(), (~np.asarray(known.is_null())).astype(np.int64), training.astype(np.int64)]
-                head = [
-                    pa.array([number], pa.int64()), pa.array([np.stack(doc_part).tobytes()], pa.binary()),
-                    pa.array([bounds.astype(np.int64).tobytes()], pa.binary()), pa.array([_squeeze(rank[tokens])], pa.binary()), pa.array([_squeeze(by_rank)], pa.binary()),
-                    blank(1, pa.int64()), blank(1, pa.binary()), blank(1, pa.int64()),
-                ]
-                columns = [p.split()[0] for p in _PARTS.split(", ")]
-                yield pa.record_batch(head, names=columns)
-                k = len(distinct)
-                yield pa.record_batch(
-                    [pa.array(np.full(k, number)), *[blank(k, pa.binary())] * 4,
-                     pa.array(distinct.view(np.int64)), pa.array(names, pa.binary()), pa.array(n)],
-                    names=columns,
-                )
-                number += 1
-
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return slim.select("id", "text", F.coalesce(F.expr(train), F.lit(True)).alias("train")).mapInArrow(run, _PARTS)
+            for _, t in reader.read(batch.column(0)):
+                found, _ = decisions(t, known, known.cells(known.head.find(t.hashes)))
+                for part, slots in found.lots(len(t.hashes)):
+                    learner.step(slots, found.kind[part], found.bit[part])
+        yield learner.rows()
+
+    tasks = min(TASKS, max(context.defaultParallelism, lexicon.total // TASK_TOKENS))
+    return merged(texts.coalesce(tasks).mapInArrow(run, "block int, data binary"), lexicon.shape)
+
+
+# ---- spelling of unknown words
 
 
 @dataclass
@@ -131,13 +380,14 @@ class Spelling:
     data: np.ndarray
     word: np.ndarray
     contexts: list[np.ndarray]
+    kind: np.ndarray
 
-    def slots(self, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
+    def slots(self, bit: int, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
         """Each predictor's slot for the bit of every byte, and the bits."""
         partial = (np.uint64(1) << np.uint64(bit)) | (self.data >> np.uint64(8 - bit))
         turned = partial * _K1
-        found = [((c + turned) * _K2) >> np.uint64(64 - b) for c, b in zip(self.contexts, SLOT_BITS, strict=True)]
-        return found, (self.data >> np.uint64(7 - bit)) & np.uint64(1)
+        found = [((c + turned) * _K2) >> np.uint64(64 - b) for c, b in zip(self.contexts, sizes, strict=True)]
+        return found, ((self.data >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.uint8)
 
 
 def spell(words: list[bytes]) -> Spelling:
@@ -159,10 +409,10 @@ def spell(words: list[bytes]) -> Spelling:
     sums = np.concatenate([[np.uint64(0)], np.cumsum((joined + np.uint64(1)) * powers[:-1])])
     start = first[word]
     contexts.append(mix((sums[:-1] - sums[start]) * inverse[start] + place.astype(np.uint64)))
-    return Spelling(joined, word, contexts)
+    return Spelling(joined, word, contexts, np.minimum(place, 3).astype(np.int32))
 
 
-def _lots(words: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _lots(words: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, w in enumerate(words):
         if size and size + len(w) + 1 > most:
@@ -173,241 +423,224 @@ def _lots(words: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield at, len(words)
 
 
-def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's words, sparse, by block of slots."""
-    table = np.zeros(2 * _STARTS[-1], np.uint32)
-    for batch in batches:
-        words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for at, to in _lots(words):
-            lot = spell(words[at:to])
-            often = (counts[at:to] >= PREFIX_MIN)[lot.word]
-            ones = np.ones(len(often), np.uint32)
-            for bit in range(8):
-                slots, bits = lot.slots(bit)
-                for p, slot in enumerate(slots):
-                    place = (2 * (slot + np.uint64(_STARTS[p])) + bits).astype(np.intp)
-                    if p == len(SLOT_BITS) - 1:
-                        place = place[often]
-                    # an array of the table's own type keeps ufunc.at on its fast path
-                    np.add.at(table, place, ones[: len(place)])
-    width = 2 << BLOCK_BITS
-    rows = []
-    for block in range(-(-len(table) // width)):
-        part = table[block * width : (block + 1) * width]
-        at = np.flatnonzero(part)
-        if len(at):
-            rows.append((block, at.astype(np.uint32).tobytes(), part[at].tobytes()))
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    yield pa.record_batch(
-        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["block", "at", "n"]
-    )
+def spelling_shape(distinct: int) -> Shape:
+    return Shape(tuple(slot_bits(distinct * 64, 12, b) for b in SPELLING_BITS), (0.4, 0.4, 0.4, 0.3, 0.2, 0.08), 8 * 4, (4, 5))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Sum one block's counts and code them as 8 log2(n + 1) in a byte."""
-    total = np.zeros(2 << BLOCK_BITS, np.int64)
-    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
-        np.add.at(total, np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint32).astype(np.int64))
-    code = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
-    return pa.table({"block": table.column("block").slice(0, 1), "codes": pa.array([code.tobytes()], pa.binary())})
-
-
-def count_contexts(vocabulary: DataFrame) -> np.ndarray:
-    """The coded counts of all predictors' slots: a table of fixed size, whatever the corpus."""
-    seen = vocabulary.where("c > 0").select("word", "c")
-    merged = seen.mapInArrow(_block_counts, "block int, at binary, n binary").groupBy("block").applyInArrow(_merge, "block int, codes binary")
-    table = np.zeros(2 * _STARTS[-1] + (2 << BLOCK_BITS), np.uint8)
-    for row in merged.toLocalIterator():
-        at = row["block"] * (2 << BLOCK_BITS)
-        table[at : at + (2 << BLOCK_BITS)] = np.frombuffer(row["codes"], np.uint8)
-    return table
-
-
-class Mixer:
-    """Gated weights and the refining map over the predictors' log odds."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        one, zero = _CODES[None, :], _CODES[:, None]
-        #: By codes of zeros and ones: each predictor's log odds, and the gate's two parts.
-        self.odds = [np.log((one + a) / (zero + a)) for a in _PRIOR]
-        self.gates = [self._gate(zero + one, part) for part in (4, 5)]
-        self.weights = np.full((8 * 24, len(SLOT_BITS) + 1), 0.0)
-        self.weights[:, 3:6] = 0.3
-        self.refine = np.tile(np.linspace(-12, 12, 49), (24, 1))
-
-    def inputs(self, lot: Spelling, bit: int, left_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds of every predictor (and a constant), the gates, and the bits.
-
-        ``left_out``: 1 for words that are taken out of the counts first, 2 for those
-        among them that the whole-beginning predictor doesn't hold.
-        """
-        slots, bits = lot.slots(bit)
-        odds = np.empty((len(bits), len(slots) + 1), np.float64)
-        gate = np.zeros(len(bits), np.int64)
-        for p, slot in enumerate(slots):
-            place = 2 * (slot.astype(np.int64) + _STARTS[p])
-            zeros, ones = self.table.take(place), self.table.take(place + 1)
-            if left_out is None:
-                odds[:, p] = self.odds[p][zeros, ones]
-                if p >= 4:
-                    gate += self.gates[p - 4][zeros, ones]
-                continue
-            zeros, ones = _CODES[zeros], _CODES[ones]
-            own = 1.0 if p < len(slots) - 1 else (left_out == 1).astype(float)
-            ones = np.maximum(ones - own * bits, 0)
-            zeros = np.maximum(zeros - own * (1 - bits.astype(float)), 0)
-            odds[:, p] = np.log((ones + _PRIOR[p]) / (zeros + _PRIOR[p]))
-            if p >= 4:
-                gate += self._gate(zeros + ones, p)
-        odds[:, -1] = 0.3
-        return odds, gate, bits.astype(np.float64)
+def learn_spelling(vocabulary: DataFrame, distinct: int) -> Mixer:
+    """The mixer of spelling, learnt online over every distinct word of the training texts, each once."""
+    shape = spelling_shape(distinct)
 
-    @staticmethod
-    def _gate(seen: np.ndarray, predictor: int) -> np.ndarray:
-        """How much a long context has seen: the last four bytes count in ones, the whole beginning in fours."""
-        if predictor == 5:
-            return 4 * np.digitize(seen, [0.5, 2.5, 7.5, 31.5, 255.5])
-        return np.digitize(seen, [0.5, 3.5, 31.5])
-
-    def learn(self, words: list[bytes], counts: np.ndarray, passes: int = 3, seed: int = 5) -> None:
-        """Online gradient steps over the sample's words, each predicted from all other words."""
-        order = np.random.default_rng(seed).permutation(len(words))
-        size = 1000
-        square = np.full(self.weights.shape, 1e-2)
-        sums, hits = np.zeros(self.refine.shape), np.zeros(self.refine.shape)
-        for turn in range(passes + 1):
-            for a in range(0, len(order), size):
-                pick = order[a : a + size]
-                lot = spell([words[i] for i in pick])
-                out = np.where(counts[pick] >= PREFIX_MIN, 1, 2)[lot.word]
-                for bit in range(8):
-                    odds, gate, bits = self.inputs(lot, bit, out)
-                    row = gate * 8 + bit
-                    mixed = (self.weights[row] * odds).sum(1)
-                    p = 1 / (1 + np.exp(-np.clip(mixed, -30, 30)))
-                    if turn == passes:
-                        column = np.clip(np.round((mixed + 12) * 2), 0, 48).astype(np.int64)
-                        np.add.at(sums, (gate, column), bits)
-                        np.add.at(hits, (gate, column), 1)
-                        continue
-                    grad = np.zeros_like(self.weights)
-                    np.add.at(grad, row, (bits - p)[:, None] * odds)
-                    total = np.bincount(row, minlength=len(self.weights))[:, None]
-                    grad /= np.maximum(total, 1e-9)
-                    square += grad**2 * (total > 0)
-                    self.weights += 0.15 / (1 + turn) * grad / np.sqrt(square)
-        centre = 1 / (1 + np.exp(-np.linspace(-12, 12, 49)))
-        refined = (sums + 20 * centre) / (hits + 20)
-        refined = np.clip(refined, 1e-6, 1 - 1e-6)
-        self.refine = np.log(refined / (1 - refined))
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Each word's log10 probability, its closing space included."""
-        out = np.zeros(len(words))
-        for at, to in _lots(words):
-            lot = spell(words[at:to])
-            cost = np.zeros(len(lot.data))
-            for bit in range(8):
-                odds, gate, bits = self.inputs(lot, bit)
-                mixed = np.einsum("ij,ij->i", self.weights[gate * 8 + bit], odds)
-                column = np.clip((mixed + 12) * 2, 0, 47.999)
-                low = column.astype(np.int64)
-                share = column - low
-                curve = self.refine[gate, low] * (1 - share) + self.refine[gate, low + 1] * share
-                final = np.clip(0.5 * (mixed + curve), -16, 16)
-                cost += np.logaddexp(0, np.where(bits > 0, -final, final))
-            out[at:to] = -np.bincount(lot.word, cost, to - at) / _LN10
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(shape)
+        for batch in batches:
+            teach(learner, batch.column(0).to_pylist())
+        yield learner.rows()
 
+    tasks = min(TASKS, max(vocabulary.sparkSession.sparkContext.defaultParallelism, distinct // TASK_WORDS))
+    return merged(vocabulary.select("word").coalesce(tasks).mapInArrow(run, "block int, data binary"), shape)
 
-def _fit_mixer(vocabulary: DataFrame, distinct: int, table: np.ndarray) -> Mixer:
-    """The mixer, taught on about ``MIXER_WORDS`` of the distinct training words, drawn by hash."""
-    mixer = Mixer(table)
-    chance = min(1.0, MIXER_WORDS / max(1, distinct))
-    drawn = vocabulary.where("c > 0").where(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    rows = drawn.select("word", "c").orderBy("word").toArrow()
-    if rows.num_rows:
-        mixer.learn(rows.column("word").to_pylist(), rows.column("c").to_numpy())
-    return mixer
-
-
-def _document_scores(chunk: pa.Table, words: pa.Table, total: int, distinct: int, discount: float) -> pa.Table:
-    ids, valid, training = np.frombuffer(chunk.column("docs")[0].as_py(), np.int64).reshape(3, -1)
-    bounds = np.frombuffer(chunk.column("bounds")[0].as_py(), np.int64)
-    tokens = _stretch(chunk.column("tokens")[0].as_py()).astype(np.int64)
-    order = np.argsort(words.column("hash").to_numpy().view(np.uint64))[_stretch(chunk.column("ranks")[0].as_py())]
-    count, logp = words.column("c").to_numpy()[order], words.column("logp").to_numpy()[order]
-    base = np.log10((count + 1) / (total + 1 * (distinct + 1)))
-    start = bounds[:-1]
-    owner = np.repeat(np.arange(len(start)), np.diff(bounds))
-    place = np.arange(len(tokens)) - start[owner]
-    keyed = owner * (len(count) + 1) + tokens
-    by_word = np.argsort(keyed, kind="stable")
-    same = keyed[by_word]
-    fresh = np.concatenate([[True], same[1:] != same[:-1]]) if len(same) else np.zeros(0, bool)
-    at = np.arange(len(same))
-    before = np.empty(len(same), np.int64)
-    before[by_word] = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(same) else 0
-    cache = before / np.maximum(place, 1)
-    spelt = 10.0 ** np.maximum(logp, -300)
-    counted = np.maximum(count - discount, 0) / max(total, 1) + discount * distinct / max(total, 1) * spelt if total else spelt
-    rated = []
-    for by_count, share in EXPERTS:
-        static = np.log10(np.maximum(counted, 1e-300)) if by_count else logp
-        if share:
-            mixed = (1 - share) * counted[tokens] + share * cache
-            rated.append(np.add.reduceat(np.where(place > 0, np.log10(np.maximum(mixed, 1e-300)), static[tokens]), start))
-        else:
-            rated.append(np.add.reduceat(static[tokens], start))
-    rated = np.stack(rated)
-    top = rated.max(0)
-    score = top + np.log10((10.0 ** (rated - top)).mean(0))
-    return pa.table(
-        {
-            "id": pa.array(ids, mask=valid == 0),
-            "held_out": pa.array(training == 0),
-            "n_tokens": np.diff(bounds),
-            "n_known": np.add.reduceat((count[tokens] > 0).astype(np.int64), start),
-            "train_tokens": np.full(len(start), total, np.int64),
-            "base_score": np.add.reduceat(base[tokens], start),
-            "score": score,
-        }
-    )
 
+def teach(learner: Learner, words: list[bytes], most: int = 1 << 15) -> None:
+    for at, to in _lots(words, most):
+        lot = spell(words[at:to])
+        for bit in range(8):
+            slots, bits = lot.slots(bit, learner.shape.bits)
+            learner.step(slots, lot.kind * 8 + np.int32(bit), bits)
 
-SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def spelt(mixer: Mixer, words: list[bytes]) -> np.ndarray:
+    """Each word's natural log probability, its closing space included."""
+    out = np.zeros(len(words))
+    for at, to in _lots(words, 1 << 17):
+        lot = spell(words[at:to])
+        cost = np.zeros(len(lot.data))
+        for bit in range(8):
+            slots, bits = lot.slots(bit, mixer.shape.bits)
+            cost += mixer.cost(slots, lot.kind * 8 + np.int32(bit), bits)
+        out[at:to] = -np.bincount(lot.word, cost, to - at)
+    return out
 
-def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row, over its whole text: token counts, base score and the model's log10 probability.
 
-    ``train`` is an SQL condition on the column ``id``; documents that it is false for
-    are held out. Null texts count as empty: one token, the end. Documents with a null
-    id train. Without training documents every count is 0 and the model is untaught.
-    An empty table gives an empty result; repeated rows are rows like others.
+# ---- scores
+
+
+@dataclass
+class Model:
+    lexicon: Lexicon
+    words: Mixer
+    spelling: Mixer
+
+
+def fit(texts: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
+    """The model of a column of texts, and the counts (hash, c) of the words that are not in its head."""
+    vocabulary = count_words(texts)
+    lexicon, least = read_lexicon(vocabulary, head_words)
+    model = Model(lexicon, learn_words(texts, lexicon), learn_spelling(vocabulary, lexicon.distinct))
+    return model, vocabulary.where(F.col("c") < least).select("hash", "c")
+
+
+@dataclass
+class Part:
+    """Sums of one text over its windows; rare words are still to be looked up."""
+
+    tokens: int = 0
+    known: int = 0
+    base: float = 0.0
+    rated: np.ndarray = field(default_factory=lambda: np.zeros(len(EXPERTS)))
+    rare: dict[int, list] = field(default_factory=dict)
+
+
+def rate(model: Model, window: Window, t: Tokens, held_out: np.ndarray, parts: list[Part]) -> None:
+    """Add a window to its texts' parts.
+
+    ``rare`` gets, for each word out of the head: how often it occurs, how often the
+    experts without and with the text's own words need its probability (the latter
+    code a repeated rare word by the text alone), and its spelling, where training may lack it.
     """
-    parts = materialise(chunked(docs, id_col, text_col, train), "chunks", compression="zstd")
-    words = parts.where("hash is not null").select("chunk", "hash", "word", "n")
-    vocabulary = materialise(words.groupBy("hash").agg(F.sum("n").alias("c"), F.max("word").alias("word")), "vocabulary", compression="zstd")
-    of = lambda condition: F.count(F.when(F.expr(condition), 1))
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), of("c > 0"), of("c = 1"), of("c = 2")).first()
-    total, distinct, once, twice = map(int, sums)
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    mixer = _fit_mixer(vocabulary, distinct, count_contexts(vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(mixer)
+    lex = model.lexicon
+    place = lex.head.find(t.hashes)
+    cell = lex.cells(place)
+    found, hit = decisions(t, lex, cell)
+    cost = [np.zeros(0)]
+    for part, slots in found.lots(len(t.hashes)):
+        cost.append(model.words.cost(slots, found.kind[part], found.bit[part]))
+    path = -np.bincount(found.token, np.concatenate(cost), len(cell))
+    count = np.where(place >= 0, lex.head.count.take(place), 0)
+    inside = place >= 0
+    share = np.log(np.maximum(count - lex.discount, 1e-300)) - lex.log_weight[cell]
+    told = inside & ~hit
+    log_p = path + np.where(told, share, 0)
+    times, owner = _times(t), t.owner()
+    since = np.arange(len(cell)) - t.first[owner]
+    own = np.log(np.maximum(times, 1e-300)) - np.log(np.maximum(since, 1))
+    cached = (times > 0) & ~hit
+    rated = []
+    for weight in EXPERTS:
+        if not weight:
+            rated.append(log_p)
+            continue
+        fresh = np.where(hit | (since == 0), log_p, log_p + math.log1p(-weight))
+        again = own + math.log(weight)
+        rated.append(np.where(cached, np.where(inside, np.logaddexp(fresh, again), again), fresh))
+    base = np.where(inside, np.log10((count + 1) / (lex.total + 1.0 * (lex.distinct + 1))), 0)
+    texts = len(t.first) - 1
+    sums = [np.bincount(owner, x, texts) for x in (base, inside, *rated)]
+    for i in range(texts):
+        part = parts[i]
+        part.tokens += int(t.first[i + 1] - t.first[i])
+        part.base += sums[0][i]
+        part.known += int(sums[1][i])
+        part.rated += np.array([s[i] for s in sums[2:]])
+    out = np.flatnonzero(~inside)
+    if not len(out):
+        return
+    need = (held_out[owner[out]]) & (lex.distinct > 0) | (lex.distinct == 0)
+    spelling = np.zeros(len(out))
+    asked = np.flatnonzero(need)
+    if len(asked):
+        names = _names(t, out[asked])
+        fresh, back = np.unique(t.hashes[out[asked]], return_inverse=True)
+        first = np.zeros(len(fresh), np.int64)
+        first[back[::-1]] = np.arange(len(asked))[::-1]
+        spelling[asked] = spelt(model.spelling, [names[i] for i in first])[back]
+    once = ~hit[out] & (times[out] == 0)
+    for i, h, miss, new, s in zip(owner[out].tolist(), t.hashes[out].view(np.int64).tolist(), (~hit[out]).tolist(), once.tolist(), spelling.tolist(), strict=True):
+        row = parts[i].rare.setdefault(h, [0, 0, 0, s])
+        row[0] += 1
+        row[1] += miss
+        row[2] += new
+
+
+def _names(t: Tokens, at: np.ndarray) -> list[bytes]:
+    word = t.word_at[at]
+    real = np.flatnonzero(word >= 0)
+    names = [b""] * len(at)
+    for i, name in zip(real.tolist(), lowered(t.words, word[real]).to_pylist(), strict=True):
+        names[i] = name
+    return names
+
+
+_EXPERT = [f"e{i}" for i in range(len(EXPERTS))]
+_PART = "`row` long, held_out boolean, size long, n_tokens long, n_known long, base double, " + ", ".join(f"{e} double" for e in _EXPERT)
+_RARE = "hashes array<long>, n array<int>, misses array<int>, fresh array<int>, spelt array<double>"
+
+
+def _row_batch(ids: pa.Array, sizes: pa.Array, number: int, held_out: np.ndarray, parts: list[Part]) -> pa.RecordBatch:
+    held = [[[k, *v] for k, v in p.rare.items()] for p in parts]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in held])]), pa.int32())
+    flat = list(zip(*[r for h in held for r in h], strict=True)) or [[]] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    arrays = [
+        ids, pa.array(number + np.arange(len(parts))), pa.array(held_out), sizes.cast(pa.int64()), pa.array([p.tokens for p in parts], pa.int64()),
+        pa.array([p.known for p in parts], pa.int64()), pa.array([p.base for p in parts], pa.float64()),
+        *[pa.array([p.rated[e] for p in parts], pa.float64()) for e in range(len(EXPERTS))],
+        *[pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(flat, kinds, strict=True)],
+    ]
+    names = ["id", *(p.split()[0].strip("`") for p in f"{_PART}, {_RARE}".split(", "))]
+    return pa.record_batch(arrays, names=names)
+
+
+SCORES = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logp = shared.value.log10(batch.column(2).to_pylist())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(logp)], names=["hash", "c", "logp"])
 
-    rated = materialise(vocabulary.select("hash", "c", "word").mapInArrow(rate, "hash long, c long, logp double"), "rated")
-    found = words.select(F.col("chunk").alias("of_chunk"), "hash").join(rated, "hash")
-    chunks = parts.where("hash is null").select("chunk", "docs", "bounds", "tokens", "ranks")
+def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row, over its whole text: token counts, base score, the model's log10 probability and bits per byte.
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _document_scores(left, right, total, distinct, discount)
+    ``train`` is an SQL condition on the column ``id``; documents that it is false for
+    are held out, and those it is null for train. Null texts count as empty: one token, the end
+    (their bits per byte are those of one byte). A very long text is read in windows of a megabyte,
+    and repetitions are looked for within a window. Ids of any type pass through, null ones
+    too. Without training documents every count is 0 and the model is untaught. An empty
+    table gives an empty result; repeated rows are rows like others; other columns are ignored.
+    """
+    slim = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    marked = slim.select("id", "text", (~F.coalesce(F.expr(train), F.lit(True))).alias("held_out"))
+    model, rest = fit(marked.where("not held_out").select("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    scored = chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(join, SCORES)
-    return scored.withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, reader = TaskContext.get().partitionId() << 33, _Reader()
+        for batch in batches:
+            ids, held_out = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            parts, sizes = [], pc.binary_length(batch.column(1))
+            for window, t in reader.read(batch.column(1)):
+                rows = window.to - window.at
+                if window.begins:
+                    parts = [Part() for _ in range(rows)]
+                rate(shared.value, window, t, held_out[window.row : window.row + rows], parts)
+                if window.ends:
+                    yield _row_batch(ids.slice(window.row, rows), sizes.slice(window.row, rows), number, held_out[window.row : window.row + rows], parts)
+                    number += rows
+
+    kind = marked.schema["id"].dataType.simpleString()
+    rated = materialise(marked.mapInArrow(run, f"id {kind}, {_PART}, {_RARE}"), "rated", compression="zstd")
+    return _finished(rated, rest, model.lexicon, id_col)
+
+
+def _finished(rated: DataFrame, rest: DataFrame, lexicon: Lexicon, id_col: str) -> DataFrame:
+    """Rare words get their counts by a join; then the experts' mean is taken."""
+    rare = rated.where(F.size("hashes") > 0).selectExpr(
+        "`row`", "inline(arrays_zip(hashes, n, misses, fresh, spelt)) as (hash, n, misses, fresh, spelt)"
+    )
+    counted = rare.join(rest, "hash", "left")
+    weight = float(lexicon.log_weight[-1])
+    rarely = F.log(F.greatest(F.col("c") - lexicon.discount, F.lit(1e-300))) - weight
+    log_p = F.when(F.col("c").isNotNull(), rarely).otherwise(F.lit(lexicon.log_unknown) + F.col("spelt"))
+    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / (lexicon.total + 1.0 * (lexicon.distinct + 1)))
+    sums = counted.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("r_known"),
+        F.sum(base * F.col("n")).alias("r_base"), F.sum(log_p * F.col("misses")).alias("r_all"), F.sum(log_p * F.col("fresh")).alias("r_fresh"),
+    )
+    joined = lookup_join(rated.drop("hashes", "n", "misses", "fresh", "spelt"), materialise(sums, "rare"), ["row"], "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    logs = F.array(*[F.col(e) + none("r_fresh" if weight else "r_all") for e, weight in zip(_EXPERT, EXPERTS, strict=True)])
+    whole = joined.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    spread = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    score = (F.col("top") + F.log(spread / len(EXPERTS))) / _LN10
+    whole = whole.withColumn("score", score)
+    bits = -F.col("score") * math.log2(10) / F.greatest(F.col("size"), F.lit(1))
+    return whole.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
+        F.lit(lexicon.total).cast("long").alias("train_tokens"), (F.col("base") + none("r_base")).alias("base_score"), "score", bits.alias("bits_per_byte"),
+    )

@@ -128,3 +128,61 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def without_nulls(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
+
+
+@dataclass
+class Window:
+    """Rows ``at`` up to ``to`` of ``texts``, the first of which is row ``row`` of its batch.
+
+    ``begins`` and ``ends`` are False for a window that goes on from the one before, or
+    is followed by another, of the same text.
+    """
+
+    texts: pa.Array
+    at: int
+    to: int
+    row: int
+    begins: bool = True
+    ends: bool = True
+
+
+def windows(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Window]:
+    """Texts in runs of at most ``most`` bytes; a longer text is cut at white space.
+
+    Only a single word longer than ``most`` makes a longer window.
+    """
+    for at, to in slices(texts, most):
+        lo, hi = _offsets(texts)[[at, to]]
+        if hi - lo <= most:
+            yield Window(texts, at, to, at)
+            continue
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
+        a = 0
+        while a < len(raw):
+            b = _cut(raw, a, most)
+            piece = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, b - a], np.int32)), pa.py_buffer(raw[a:b])])
+            yield Window(piece, 0, 1, at, a == 0, b == len(raw))
+            a = b
+
+
+def _cut(raw: np.ndarray, a: int, most: int) -> int:
+    """Just behind the last white space that a window from ``a`` can hold, or else behind the next one."""
+    if len(raw) - a <= most:
+        return len(raw)
+    inside = np.flatnonzero(_SPACE[raw[a : a + most]])
+    if len(inside):
+        return a + int(inside[-1]) + 1
+    for b in range(a + most, len(raw), most):
+        later = np.flatnonzero(_SPACE[raw[b : b + most]])
+        if len(later):
+            return b + int(later[0]) + 1
+    return len(raw)
+
+
+def lowered(words: Words, pick: np.ndarray) -> pa.Array:
+    """The bytes of some words, A-Z lower-cased, as an Arrow array."""
+    sizes = words.ends[pick] - words.starts[pick]
+    ends = np.cumsum(sizes)
+    at = np.repeat(words.starts[pick] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[words.raw[at]])])
