@@ -60,3 +60,12 @@ def test_groups_stay_together_and_hot_ones_fill_shards(spark):
         where[texts[r.doc_id]].add(r.shard)
     cut = sum(len(v) > 1 for k, v in where.items() if k != "hot")
     assert cut <= 12 and len(where["hot"]) <= 6
+
+
+def test_string_ids_and_clashing_names(spark):
+    rows = [("a", "same text", "x"), ("b", "same text", "y"), (None, "same text", "z"), ("c", "other text", "w"), (None, "alone", "v"), ("d", None, "u"), ("e", "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, `__wm_full` string")
+    kept = sorted((r.doc_id or "-", r["__wm_full"]) for r in drop_exact_copies(docs).collect())
+    assert kept == [("-", "v"), ("b", "y"), ("c", "w"), ("e", "t")]
+    assert drop_exact_copies(docs).columns == docs.columns and drop_exact_copies(docs.limit(0)).count() == 0
+    assert {(r.doc_id, r.keep_id) for r in exact_groups(docs.where("doc_id is not null")).collect()} == {("a", "b"), ("b", "b"), ("c", "c"), ("d", "e"), ("e", "e")}

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.sources.scratch import materialise, shared_dir, shared_path
 
-__all__ = ["lookup_join", "materialise", "ranked", "shared_dir", "shared_path", "text_or_empty"]
+__all__ = ["lookup_join", "materialise", "ranked", "small_batches", "without_ids", "shared_dir", "shared_path", "text_or_empty"]
 
 #: A table with at most this many (narrow) rows may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of texts that go to Python at a time.
+BATCH_ROWS = 1000
+
 
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str, limit: int = BROADCAST_ROWS
@@ -31,6 +34,23 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send Python at most ``BATCH_ROWS`` rows at a time.
+
+    Both sides hold a batch whole, and rows here are texts; the default of ten
+    thousand rows is tens of megabytes of ordinary texts for every task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the stored one-column table ``dropped``; null ids stay, and all columns, whatever their names."""
+    rows = docs.select(F.col(id_col).alias("__wm_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("__wm_row"))
+    return lookup_join(rows, dropped.toDF("__wm_id"), ["__wm_id"], "left_anti").select("__wm_row.*")
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, buckets: int | Column = 2048
 ) -> DataFrame:
