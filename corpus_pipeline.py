@@ -5,7 +5,8 @@ kept, and returns the columns of ``documents``; the last returns packed pieces.
 ``run`` writes each stage's result to the shared folder and reads it back.
 
 Edge cases are those of the operators: null texts count as empty, rows with a null
-doc_id pass the filters, repeated rows share a verdict, empty tables stay empty.
+doc_id pass the filters, repeated rows share a verdict, empty tables stay empty, and
+columns beside doc_id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,23 +19,21 @@ from waymark.llm import decontaminate, exact, near, packing, toxicity
 from waymark.llm.catalog import table, tokenizer_path
 from waymark.llm.store import materialise
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact.drop_exact_copies(docs).select(COLUMNS)
+    return exact.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one_of_each(docs).select(COLUMNS)
+    return near.keep_one_of_each(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

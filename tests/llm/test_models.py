@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import pii, toxicity
+from waymark.llm import catalog, pii, toxicity
 from waymark.llm.main_text import extract_main_text, main_text
 
 
@@ -118,3 +119,61 @@ def test_pipeline_stages(spark, odd, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} >= {4, 7, 9, 10} and not {3, 5, 8} & {r.doc_id for r in rows}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_logits_are_sums_over_pairs():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(-0.3, np.array([2, 5, 9, 11, 40]), rng.normal(size=5), rng.normal(size=(5, 3)))
+    rows = [[2, 5, 7], [], [9], [2, 5, 9, 11, 40, 41], [1, 3]]
+    got = model.logits(np.concatenate([np.array(r, np.int64) for r in rows]), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for logit, row in zip(got, rows, strict=True):
+        at = [int(np.flatnonzero(model.slot == t)[0]) for t in row if t in model.slot]
+        want = model.bias + sum(model.weight[i] for i in at)
+        want += sum(model.factor[i] @ model.factor[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(logit - want) < 1e-9
+
+
+def test_linear_weights_alone_miss_the_pair():
+    rng = np.random.default_rng(6)
+    both = rng.random((3000, 2)) < 0.5
+    labels = (both[:, 0] ^ both[:, 1]).astype(float)
+    rows = [[1000 + rng.integers(50), *np.flatnonzero(b)] for b in both]
+    flat = np.array([t * 1024 for r in rows for t in sorted(map(int, r))], np.int32)
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    right = lambda m: float(((m.logits(flat, bounds) > 0) == (labels > 0)).mean())
+    assert right(toxicity.fit(flat, bounds, labels)) > 0.95
+    assert right(toxicity.fit(flat, bounds, labels, factors=0)) < 0.8
+
+
+def test_sample_bounds_and_repeated_ids(spark):
+    rows = [(i, f"word{i % 7} bad" if i % 2 else f"word{i % 7} good") for i in range(200)] + [(3, "word3 bad")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    small = toxicity.train(docs, marks, sample_terms=40)
+    model = toxicity.train(docs, marks)
+    assert len(small.slot) < len(model.slot)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((scores[i] > 0.5) == bool(i % 2) for i in range(200)) and abs(model.bias) < 1
+
+
+def test_toxicity_query(spark):
+    rows = catalog.op5_toxicity(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = {r.doc_id for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    assert all(r.held_out == (r.doc_id in held) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+def test_each_stage_alone(spark, odd, none, tmp_path):
+    spark.createDataFrame([(3, 0), (5, 0), (9, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no id here at all in this row")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bare = odd.select("doc_id", "text", F.lit(1).alias("__wm_id"), F.lit(2).alias("__wm_row"))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none, bare):
+            got = stage(spark, docs, str(tmp_path))
+            rows = got.collect()
+            if name != "packing":
+                assert got.columns == docs.columns and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+            assert (len(rows) > 0) == (docs is not none)
+            if name == "exact_dedup" and docs is odd:
+                assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, [2, 4, 4, 6, 7, 8, None, 9, 10]))
