@@ -1,14 +1,17 @@
 """Near-duplicates and string tiling against brute force."""
 
 import random
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from waymark.llm.decontaminate import drop_contaminated, overlaps, tile
-from waymark.llm.near import keep_one_of_each, near_duplicates
-from waymark.llm.words import mix
+from waymark.llm import catalog, decontaminate
+from waymark.llm.decontaminate import _near_seeds, drop_contaminated, overlaps, tile
+from waymark.llm.near import dart_signatures, keep_one_of_each, near_duplicates, weighted
+from waymark.llm.words import mix, windows
 
 
 def shingle_set(text, n=5):
@@ -121,15 +124,23 @@ def test_tiles_equal_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(60):
         item, doc = rng.integers(0, 4, 25), rng.integers(0, 4, 60)
-        grams = lambda x: {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
-        pairs = [(a, b) for a in range(23) for b in range(58) if tuple(item[a : a + 3]) == tuple(doc[b : b + 3])]
-        assert grams(item) is not None
-        if not pairs:
-            continue
-        a, b = map(np.asarray, zip(*pairs, strict=True))
         hashes = lambda x: mix(x.astype(np.uint64) + np.uint64(7))
-        tiles = tile(hashes(item), hashes(doc), a, b, 3)
-        assert sum(t[2] for t in tiles) == brute_tiles(item.tolist(), doc.tolist(), 3)
+        for words in (hashes(doc), _near_seeds(hashes(item), hashes(doc), 3)):
+            tiles = tile(hashes(item), words, 3)
+            assert sum(t[2] for t in tiles) == brute_tiles(item.tolist(), doc.tolist(), 3)
+            assert all((hashes(item)[a : a + n] == words[b : b + n]).all() for a, b, n in tiles)
+
+
+def test_repetitive_texts_are_cheap():
+    item, doc = np.full(2000, 7, np.uint64), np.full(20_000, 7, np.uint64)
+    began = time.monotonic()
+    tracemalloc.start()
+    assert tile(item, doc, 5) == [(0, 0, 2000)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.monotonic() - began < 2 and most < 30e6
+    two = np.tile(np.arange(2, dtype=np.uint64), 1000)
+    assert sum(t[2] for t in tile(two, np.tile(two, 5)[::-1].copy(), 5)) == 2000
 
 
 def test_overlaps(spark, odd, none):
@@ -138,8 +149,77 @@ def test_overlaps(spark, odd, none):
     docs = [(1, "before " + item + " after"), (2, halves), (3, "q1 q2 q3 q4 q5 q6 other words"), (4, None), (5, ("a b " * 3000) + item.upper()), (1, item)]
     bench = [(7, item), (8, "too short"), (9, None), (10, "zz " * 30)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    for size in (8 << 20, 100):
-        rows = overlaps(d, b, block_bytes=size).collect()
-        assert sorted((r.doc_id, r.item_id, r.matched_words) for r in rows) == [(1, 7, 40), (1, 7, 40), (2, 7, 40), (5, 7, 40)]
+    rows = overlaps(d, b).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words) for r in rows) == [(1, 7, 40), (1, 7, 40), (2, 7, 40), (5, 7, 40)]
     assert sorted(r.doc_id for r in drop_contaminated(d, b).collect()) == [3, 4]
     assert overlaps(d, b.limit(0)).count() == overlaps(none, b).count() == overlaps(odd, b).count() == 0
+
+
+def test_null_string_and_repeated_item_ids(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    docs = spark.createDataFrame([("a", item), (None, item), ("c", "no such words here at all")], "doc_id string, text string")
+    bench = spark.createDataFrame([(None, item, 1), (-1, item, 2), (-1, item, 3)], "item_id long, text string, t1 long")
+    rows = overlaps(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id) for r in rows) == {("a", None): 1, (None, None): 1, ("a", -1): 2, (None, -1): 2}
+    assert sorted(str(r.doc_id) for r in drop_contaminated(docs, bench).collect()) == ["None", "c"]
+
+
+@pytest.mark.parametrize("cut", [64, 2 << 20])
+def test_overlaps_equal_brute_force(spark, monkeypatch, cut):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(9)}"
+    bench = [(i, " ".join(word() for _ in range(rng.randrange(4, 25)))) for i in range(12)]
+    docs = []
+    for i in range(40):
+        words = [word() for _ in range(30)]
+        parts = rng.choice(bench)[1].split()
+        half = rng.randrange(len(parts))
+        docs.append((i, " ".join(words + parts[half:] + words[:3] + parts[:half])))
+    monkeypatch.setattr(decontaminate, "windows", lambda texts: windows(texts, cut))
+    got = overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), min_match=3).collect()
+    want = {}
+    for d, text in docs:
+        for k, item in bench:
+            n = brute_tiles(item.split(), text.split(), 3)
+            if n >= 0.5 * len(item.split()):
+                want[d, k] = n
+    assert {(r.doc_id, r.item_id): r.matched_words for r in got} == want and len(want) > 20
+
+
+def test_coordinates_agree_like_the_weighted_similarity():
+    rng = np.random.default_rng(3)
+    elements = mix(np.arange(1, 41, dtype=np.uint64))
+    for _ in range(6):
+        a, b = np.exp(rng.normal(0, 1.5, 40)), np.exp(rng.normal(0, 1.5, 40))
+        b[:20] = a[:20]
+        k = 4096
+        ids = dart_signatures(np.tile(elements, 2), np.concatenate([a, b]), np.array([0, 40, 80]), k)
+        want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs((ids[0] == ids[1]).mean() - want) < 4 * (want * (1 - want) / k) ** 0.5
+    found, counts, bounds = weighted(np.array([7, 5, 7, 7, 7, 2], np.uint64), np.array([0, 4, 4, 6]))
+    assert (found.tolist(), counts.tolist(), bounds.tolist()) == ([5, 7, 2, 7], [1, 3, 1, 1], [0, 2, 2, 4])
+
+
+def test_a_template_hides_no_link(spark):
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(304)]
+    docs = []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(52)]
+        one, other = template + own, template + own
+        other = other[:]
+        for j in rng.sample(range(304, 356), 2):
+            other[j] = f"c{i}x{j}"
+        docs += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    sets = {i: shingle_set(t) for i, t in docs}
+    similar = lambda a, b: (c := sum((sets[a] & sets[b]).values())) / (sum(sets[a].values()) + sum(sets[b].values()) - c)
+    assert all(similar(2 * i, 2 * i + 1) >= 0.8 for i in range(300)) and max(similar(0, j) for j in range(2, 600)) < 0.8
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(300))
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_query_equals_all_pairs(spark, folder):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in catalog.op3_dart_minhash(spark, f"/root/testdata/{folder}").collect()}
+    assert got == brute_classes(docs)

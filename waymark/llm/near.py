@@ -1,11 +1,12 @@
 """Near-duplicates by DartMinHash signatures of weighted word shingles.
 
-A text is the multiset of its five-word shingles, a weighted set. Each unit of
-weight of a shingle is a region into which darts fall by a Poisson process that
-depends on the region alone; a text sees the darts of its own regions whose rank
-is below a cut-off that makes about k ln k of them. Each dart belongs to one of k
-coordinates, and a coordinate keeps its earliest dart. Two texts agree on a
-coordinate with a probability equal to their weighted Jaccard similarity.
+A text is the multiset of its five-word shingles, a weighted set (weights may be any
+positive numbers). Each shingle's weight axis is cut into regions that double in
+width, into which darts fall by a Poisson process that depends on the region alone; a text
+sees the darts below its weight whose rank is under a cut-off that makes about
+k ln k of them. Each dart belongs to one of k coordinates, and a coordinate keeps
+its earliest dart. Two texts agree on a coordinate with a probability equal to
+their weighted Jaccard similarity.
 
 Coordinates are joined in bands; texts in one bucket are compared with hubs of the
 bucket first, and with each other only where that leaves them in different classes.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import lookup_join, materialise, text_or_empty
+from waymark.llm.store import lookup_join, materialise, small_batches, text_or_empty, without_ids
 from waymark.llm.words import mix, shingles, slices, split_words, without_nulls
 from waymark.operators.components import connected_components
 
@@ -39,59 +40,83 @@ HUB_SHARE = 32
 TEXTS_AT_ONCE = 256
 
 
-def _units(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One value per unit of weight: the j-th occurrence of a shingle in a text gets its own region."""
-    out = np.empty_like(hashes)
+def weighted(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct elements, their counts, and the ranges of texts in them."""
+    ordered = hashes.copy()
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        part = np.sort(hashes[a:b])
-        if len(part) > 1:
-            fresh = np.concatenate([[True], part[1:] != part[:-1]])
-            if not fresh.all():
-                at = np.arange(len(part))
-                start = np.maximum.accumulate(np.where(fresh, at, 0))
-                part = part + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out[a:b] = part
-    return mix(out)
-
-
-def dart_signatures(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """(texts, k) dart ids: each coordinate's earliest dart; a text without shingles has zeros.
-
-    Every text gets about the same number of darts however short it is, so memory
-    is bounded by the texts handled at a time.
+        ordered[a:b].sort()
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(fresh)
+    return ordered[at], np.diff(np.append(at, len(ordered))).astype(np.float64), np.searchsorted(at, bounds)
+
+
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """(texts, k) dart ids: each coordinate's earliest dart; a text without weight has zeros.
+
+    Text i has the elements from ``bounds[i]`` up to ``bounds[i + 1]``, each once, with
+    positive real weights. The number of darts per text is about k ln k however
+    many elements it has and whatever they weigh, so memory is bounded by the texts handled at a time.
     """
     parts = [np.zeros((0, k), np.uint64)]
     for a in range(0, len(bounds) - 1, TEXTS_AT_ONCE):
         own = bounds[a : a + TEXTS_AT_ONCE + 1]
-        parts.append(_signatures(hashes[own[0] : own[-1]], own - own[0], k))
+        parts.append(_signatures(elements[own[0] : own[-1]], weights[own[0] : own[-1]], own - own[0], k))
     return np.concatenate(parts)
 
 
-def _signatures(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+def _regions(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The weight axis of each element in regions [0, 1), [1, 2), [2, 4), [4, 8), ..., as far as its weight reaches.
+
+    Gives each region's id, start, width, the element's weight, and the text. A region's
+    darts are the same in every text, so texts that weigh an element differently
+    share those below the lesser weight.
+    """
+    levels = 1 + np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64)
+    at = np.repeat(np.arange(len(elements)), levels)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
+    width = np.where(level > 0, 2.0 ** (level - 1), 1.0)
+    return mix(elements[at] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.where(level > 0, width, 0), width, weights[at], owner[at]
+
+
+def _uniform(drop: np.ndarray) -> np.ndarray:
+    return ((drop >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     texts = len(bounds) - 1
     ids = np.zeros(texts * k, np.uint64)
-    sizes = np.diff(bounds)
-    regions = _units(hashes, bounds)
-    todo = np.flatnonzero(sizes)
+    whose = np.repeat(np.arange(texts), np.diff(bounds))
+    total = np.bincount(whose, weights, texts)
+    region, start, width, weight, owner = _regions(elements, weights, whose)
+    # nearly all regions are of width 1 and lie below their element's weight, so that all their darts are the element's
+    simple = (width == 1) & (start + width <= weight)
+    todo = np.flatnonzero(total)
     darts = k * math.log(k) + 4 * k
     while len(todo):
-        pick = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in todo])
-        owner = np.repeat(todo, sizes[todo])
-        region, cut = regions[pick], (darts / sizes)[owner] if len(todo) else None
-        rank = np.zeros(len(region))
+        cuts = (darts / np.maximum(total, 1e-300))[owner]
         best = np.full(texts * k, np.inf)
         thrown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        turn = np.uint64(0)
-        while len(region):
-            turn += np.uint64(1)
-            drop = mix(region + np.array([0xD1B54A32D192ED03], np.uint64) * turn)
-            rank = rank - np.log(((drop >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            seen = rank < cut
-            region, rank, cut, owner, drop = region[seen], rank[seen], cut[seen], owner[seen], drop[seen]
-            dart = mix(drop ^ np.uint64(0xA0761D6478BD642F))
-            place = owner * k + (dart % np.uint64(k)).astype(np.int64)
-            np.minimum.at(best, place, rank)
-            thrown.append((place, rank, dart))
+        again = np.isin(owner, todo) if len(todo) < texts else np.ones(len(owner), bool)
+        for mine in (again & simple, again & ~simple):
+            held = [region[mine], np.zeros(int(mine.sum())), cuts[mine], owner[mine]]
+            held += [] if simple[mine].all() else [start[mine], width[mine], weight[mine]]
+            turn = np.uint64(0)
+            while len(held[0]):
+                turn += np.uint64(1)
+                drop = mix(held[0] + np.array([0xD1B54A32D192ED03], np.uint64) * turn)
+                gap = np.log(_uniform(drop))
+                held[1] = held[1] - (gap / held[5] if len(held) > 4 else gap)
+                seen = held[1] < held[2]
+                held, drop = [x[seen] for x in held], drop[seen]
+                dart = mix(drop ^ np.uint64(0xA0761D6478BD642F))
+                place, rank = held[3] * k + (dart % np.uint64(k)).astype(np.int64), held[1]
+                if len(held) > 4:
+                    own = held[4] + held[5] * _uniform(mix(dart)) < held[6]
+                    place, rank, dart = place[own], rank[own], dart[own]
+                np.minimum.at(best, place, rank)
+                thrown.append((place, rank, dart))
         place, rank, dart = (np.concatenate(c) for c in zip(*thrown, strict=True))
         first = rank == best[place]
         ids[place[first]] = dart[first]
@@ -120,7 +145,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
             for at, to in slices(texts):
                 words = split_words(texts, at, to)
                 parts, bounds = shingles(words, size)
-                hashes = band_hashes(dart_signatures(parts, bounds, bands * rows), bands, rows)
+                hashes = band_hashes(dart_signatures(*weighted(parts, bounds), bands * rows), bands, rows)
                 keys = np.frombuffer(
                     b"".join(
                         hashlib.blake2b(words.hashes[a:b], digest_size=16).digest()
@@ -136,6 +161,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                 columns = [batch.column(0).slice(at, to - at), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts), lists]
                 yield pa.record_batch(columns, names=["id", "hi", "lo", "n", "bands"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(run, _SKETCH)
 
@@ -221,7 +247,8 @@ def near_duplicates(
     probability of 1 - (1 - similarity ** rows) ** bands (over 0.9999 by default).
     Texts without words, null ones included, are one class. Rows repeated under one
     id are one document, as are different texts under one id (their links add up).
-    Rows with a null id keep a null class. An empty table gives an empty result.
+    Rows with a null id keep a null class. An empty table gives an empty result. A text is
+    held whole, with arrays some thirty times its bytes; ids are cast to long.
     """
     sketches = materialise(sketch(docs, id_col, text_col, shingle_words, bands, rows), "sketches")
     known = sketches.where("id is not null")
@@ -364,5 +391,5 @@ def _compare_blocks(members: DataFrame, docs: DataFrame, id_col: str, text_col:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` with only the least id of each class; all columns stay, and rows with a null id too."""
     classes = near_duplicates(docs, id_col, text_col, **parameters)
-    dropped = materialise(classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__wm_id")).distinct(), "dropped")
-    return lookup_join(docs.withColumn("__wm_id", F.col(id_col)), dropped, ["__wm_id"], "left_anti").select(docs.columns)
+    dropped = classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
+    return without_ids(docs, id_col, materialise(dropped, "dropped"))
