@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm import packing, warc
+from waymark.llm import catalog, packing, warc
 from waymark.llm.bpe import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,44 @@ def test_plan_fills_bins():
     assert packing.plan_best_fit({}, 1024) == []
 
 
+def piece_by_piece(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(bins) if room >= n]
+        if fits:
+            bins[min(fits, key=lambda i: bins[i])] -= n
+        else:
+            bins.append(capacity - n)
+    return len(bins)
+
+
+def test_plan_equals_best_fit_decreasing_piece_by_piece():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        capacity = int(rng.integers(5, 60))
+        lengths = rng.integers(1, capacity + 1, rng.integers(1, 60))
+        hist = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        runs = packing.plan_best_fit(hist, capacity)
+        seated = sorted((s, offset, length) for length, _, count, first, offset in runs for s in range(first, first + count))
+        assert len({s for s, _, _ in seated}) == piece_by_piece(lengths.tolist(), capacity)
+        for (s, offset, length), (s2, offset2, _) in zip(seated[:-1], seated[1:], strict=True):
+            assert offset2 == offset + length if s == s2 else offset2 == 0
+        assert max(offset + length for _, offset, length in seated) <= capacity
+    assert {r[3] + i for r in packing.plan_best_fit({300: 4}, 1024) for i in range(r[2])} == {0, 1}
+
+
+def test_packing_query(spark):
+    rows = catalog.op2_packing(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    words, ids = Encoder(PATH), {}
+    for d in docs:
+        ids[d.doc_id] = np.append(np.frombuffer(words.encode(d.text or ""), "<u4"), 2).astype("<u4")
+    for r in rows:
+        assert r.length <= 1024 and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum(map(len, ids.values())) and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    assert len({r.sequence_id for r in rows}) == piece_by_piece([r.length for r in rows], 1024)
+
+
 def test_pack(odd, none):
     rows = packing.pack(odd, PATH, capacity=64, with_ids=True).collect()
     assert packing.pack(none, PATH).count() == 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.bpe import encoder
-from waymark.llm.store import materialise, ranked, text_or_empty
+from waymark.llm.store import materialise, ranked, small_batches, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _RANK_BITS = 44
@@ -55,6 +55,7 @@ def tokenize_pieces(
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return slim.mapInArrow(cut, schema)
 
@@ -62,7 +63,8 @@ def tokenize_pieces(
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing over counts: runs (length, first rank, count, first sequence, offset).
 
-    A run says that the pieces of ``length`` with ranks from ``first rank`` on sit
+    It opens as many sequences as best-fit decreasing piece by piece, which fills a bin before it
+    turns to another one with the same room. A run says that the pieces of ``length`` with ranks from ``first rank`` on sit
     at ``offset`` in the sequences from ``first sequence`` on, one in each.
     """
     runs: list[tuple[int, int, int, int, int]] = []
@@ -79,13 +81,21 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
                 open_bins[capacity].append((sequences, fresh))
                 sequences, room = sequences + fresh, capacity
             first, count = open_bins[room].pop()
-            used = min(left, count)
+            # the fullest bin that fits is the one just filled, as long as it fits another piece
+            each = room // length
+            bins = min(count, left // each)
+            taken = [(first, bins, each)] if bins else []
+            if bins < count and left - bins * each:
+                taken.append((first + bins, 1, min(each, left - bins * each)))
+            for start, n, layers in taken:
+                for layer in range(layers):
+                    runs.append((length, rank, n, start, capacity - room + layer * length))
+                    left, rank = left - n, rank + n
+                if room > layers * length:
+                    open_bins[room - layers * length].append((start, n))
+            used = sum(n for _, n, _ in taken)
             if used < count:
                 open_bins[room].append((first + used, count - used))
-            if room > length:
-                open_bins[room - length].append((first, used))
-            runs.append((length, rank, used, first, capacity - room))
-            left, rank = left - used, rank + used
     return runs
 
 
@@ -121,8 +131,10 @@ def pack(
     """Pack whole documents into as few sequences of ``capacity`` ids as best-fit decreasing finds.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset
-    (and ids with ``with_ids``). Sequences are filled from offset 0 without gaps.
-    An empty table gives an empty result; other columns are ignored.
+    (and ids with ``with_ids``). Sequences are filled from offset 0 without gaps; ties
+    between pieces of one length go by doc_id, piece, start and content. Repeated rows and null
+    texts are pieces like others. A very long text is encoded whole (its ids take four bytes each);
+    ids are cast to long. An empty table gives an empty result; other columns are ignored.
     """
     pieces = materialise(tokenize_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
     return assign_slots(pieces, capacity)
