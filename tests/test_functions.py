@@ -16,6 +16,8 @@ SITES = {
     "example.com:443": ("https://example.com/", 443, False, "example.com"),
     "example.com:8443/x": ("http://example.com:8443/", 8443, False, "example.com"),
     "HTTPS://User:pw@WWW.Example.com/a?b#c": ("https://www.example.com/", 443, False, "example.com"),
+    "https://user:secret@shop.example.com/": ("https://shop.example.com/", 443, False, "example.com"),
+    "https://a:b@c:d@deep.example.com:7443": ("https://deep.example.com:7443/", 7443, False, "example.com"),
     "http://example.com:0/": ("http://example.com/", 80, False, "example.com"),
     "a.b.co.uk": ("http://a.b.co.uk/", 80, False, "b.co.uk"),
     "com.cn": ("http://com.cn/", 80, False, "com.cn"),
@@ -83,4 +85,5 @@ def test_failure_categories(spark):
 
 def test_report_helpers():
     assert shorten([], 3) == "无" and shorten(["a", "b", "c"], 2) == "a，b ...（其余 1 个省略）"
-    assert format_duration(3661.5).startswith("1小时1分1秒")
+    cases = {0: "0毫秒", 0.25: "250毫秒", 5.2: "5.200秒", 59.9996: "1分0秒", 61.5: "1分1秒", 3600: "1小时0分0秒", 3661.5: "1小时1分1秒"}
+    assert {s: format_duration(s) for s in cases} == cases

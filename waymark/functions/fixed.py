@@ -5,7 +5,7 @@ DEFAULT_RULES = {
     "default_timeout": 3.0,
     "max_body_bytes": 524288,
     "network": {
-        "user_agent": "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/137.0.0.0 Safari/537.36",
+        "user_agent": "Mozilla/5.0 (compatible; waymark-probe)",
         "retry_attempts": 2,
         "retry_backoff_seconds": 0.6,
         "verify_tls": False,
@@ -164,3 +164,18 @@ JSON_TYPES = ["application/json"]
 COUNT_INPUT, COUNT_FAILED, COUNT_NOISE = "输入站点数", "探测失败数", "噪音站点数"
 COUNT_GROUPS, COUNT_MEMBERS, COUNT_ALONE = "可合并站点组数", "可合并站点成员数", "独立站点数"
 COUNT_WORKERS, SECONDS, DURATION = "使用并发数", "任务耗时秒", "任务耗时"
+
+# Texts of the report and of durations.
+HOURS, MINUTES, SECONDS_MS, MS = "{}小时{}分{}秒", "{}分{}秒", "{}.{:03d}秒", "{}毫秒"
+NONE, COMMA, SEMICOLON, SHORTENED = "无", "，", "；", " ...（其余 {} 个省略）"
+HEAD_SUMMARY, HEAD_FAILURES, HEAD_NOISE = "结果概要", "失败原因概要", "噪音站点示例"
+HEAD_GROUPS, HEAD_ALONE = "可合并站点组概要", "独立站点示例"
+MORE_FAILURES, MORE_NOISE = "- 其余 {} 类失败原因省略", "- 其余 {} 个噪音站点省略"
+MORE_GROUPS, MORE_ALONE = "- 其余 {} 个合并组省略", "- 其余 {} 个独立站点省略"
+FAILURE_LINE, SAMPLE_LINE = "- {}: {} 个", "  示例: {}"
+GROUP_LABELS = ["类型", "代表站点", "成员数", "成员示例", "原因"]
+NO_SITES, BAD_INPUT, NO_RULES = "输入文件中没有可用站点", "加载输入失败: {}", "规则文件不存在: {}"
+WRITTEN, RULES_AT = "完整 JSON 结果已写入: {}", "规则文件: {}"
+
+# Parts of a page that carry no text: removed before tags are.
+HIDDEN_PATTERN, TAG_PATTERN = r"(?is)<(script|style).*?>.*?</\1>", r"(?s)<[^>]+>"

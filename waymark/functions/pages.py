@@ -14,13 +14,12 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import functions as F
 
-from waymark.functions.fixed import JSON_TYPES, SEMANTIC_FIELDS, XML_TYPES
+from waymark.functions.fixed import HIDDEN_PATTERN, JSON_TYPES, SEMANTIC_FIELDS, TAG_PATTERN, XML_TYPES
 
 EXCERPT = 4000
 _META = ("description", "keywords", "generator", "viewport")
 _SPACE = re.compile(r"\s+")
-_HIDDEN = re.compile(r"(?is)<(script|style).*?>.*?</\1>")
-_TAG = re.compile(r"(?s)<[^>]+>")
+_HIDDEN, _TAG = re.compile(HIDDEN_PATTERN), re.compile(TAG_PATTERN)
 _FIELDS = frozenset(SEMANTIC_FIELDS)
 
 

@@ -40,14 +40,18 @@ def infer_scheme(raw: Column, rules: Rules) -> Column:
     return let(python_strip(raw), of)
 
 
+def _without_user(authority: Column) -> Column:
+    return F.regexp_replace(authority, r"(?s)^.*@", "")
+
+
 def authority_host(authority: Column) -> Column:
     """Lower-case host of an authority, without user info, port and brackets."""
-    return F.lower(F.regexp_replace(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:\[]*)", 1), r"[\[\]]", ""))
+    return F.lower(F.regexp_replace(F.regexp_extract(_without_user(authority), r"^(\[[^\]]*\]|[^:\[]*)", 1), r"[\[\]]", ""))
 
 
 def authority_port(authority: Column) -> Column:
     """The port's text, '' if there is none."""
-    return F.regexp_extract(authority, r"^(?:.*@)?(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    return F.regexp_extract(_without_user(authority), r"(?s)^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
 
 
 def _joined(host: Column) -> Column:

@@ -34,15 +34,14 @@ def analyze(responses: DataFrame, rules: Rules) -> DataFrame:
     site = urls.site_struct(F.col("raw"), rules)
     rows = responses.withColumn("site", site).where("site.problem = ''")
     order = F.col("line_no") if "line_no" in responses.columns else F.col("raw")
-    everything = F.struct(*[F.col(c) for c in rows.columns])
-    firsts = rows.groupBy(F.col("site.url").alias("__key")).agg(F.min_by(everything, order).alias("r")).select("r.*")
     most = int(rules.get("max_body_bytes"))
     body = F.substring(F.col("final.body"), 1, most)
     ok = F.coalesce(F.col("probe_error"), F.lit("")) == ""
     final_url = F.when(F.coalesce(F.col("final.url"), F.lit("")) == "", F.col("site.url")).otherwise(F.col("final.url"))
     page = page_udf(rules.patterns("http", "html_content_types"))
-    parsed = firsts.select(
-        "raw", F.col("site.url").alias("url"), F.col("site.scheme").alias("scheme"), F.col("site.host").alias("host"), F.col("site.port").alias("port"),
+    # bodies are parsed where they are read and never shuffled; equal sites are told on what is left
+    parsed = rows.select(
+        order.alias("__order"), "raw", F.col("site.url").alias("url"), F.col("site.scheme").alias("scheme"), F.col("site.host").alias("host"), F.col("site.port").alias("port"),
         urls.is_ip(F.col("site.host")).alias("is_ip"), urls.registrable_domain(F.col("site.host"), rules).alias("domain"),
         F.array_sort(F.array_distinct(F.coalesce("resolved_ips", F.array().cast("array<string>")))).alias("resolved_ips"),
         F.coalesce("probe_error", F.lit("")).alias("given_error"), F.col("first.status").alias("original_status"),
@@ -55,6 +54,8 @@ def analyze(responses: DataFrame, rules: Rules) -> DataFrame:
         *[c for c in parsed.columns if c not in ("page", "body")], "page.*",
         F.coalesce(F.octet_length("body"), F.lit(0)).alias("body_length"), F.when(F.col("body").isNotNull(), F.sha2("body", 256)).otherwise("").alias("body_sha256"),
     )
+    everything = F.struct(*[F.col(c) for c in flat.columns if c != "__order"])
+    flat = flat.groupBy(F.col("url").alias("__key")).agg(F.min_by(everything, "__order").alias("r")).select("r.*")
     return _classified(flat, rules)
 
 

@@ -17,6 +17,7 @@ from waymark.functions import fixed as X
 from waymark.functions.rules import load_rules
 from waymark.operators.components import connected_components
 from waymark.plans import converge as C
+from waymark.plans.analyze import analyze
 from waymark.sources.sites import parse_sites
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,8 +149,8 @@ RUN_SQL = (
 
 # URLs and site lists.
 _RAW = (
-    "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'HTTP://User:pw@' || upper(host) || ':8443/x?y#z' WHEN 2 THEN host "
-    "WHEN 3 THEN host || ':9443' ELSE '  ' || url || ' ' END"
+    "CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'HTTP://User:pw@' || upper(host) || ':8443/x?y#z' WHEN 2 THEN host "
+    "WHEN 3 THEN host || ':9443' WHEN 4 THEN 'https://user:secret@' || host || '/a?b' WHEN 5 THEN 'https://a:b@c:d@' || host || ':7443' ELSE '  ' || url || ' ' END"
 )
 
 
@@ -160,8 +161,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORMAL_SQL = (
     f"WITH p AS (SELECT page_id, url, {PARTS['scheme']} AS scheme, {PARTS['host']} AS host FROM pages), "
-    "n AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'https' ELSE scheme END AS scheme, host, "
-    "CASE page_id % 5 WHEN 1 THEN 8443 WHEN 2 THEN 80 WHEN 3 THEN 9443 ELSE CASE WHEN scheme = 'https' THEN 443 ELSE 80 END END AS port FROM p), "
+    "n AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'http' WHEN 2 THEN 'http' WHEN 3 THEN 'https' WHEN 4 THEN 'https' WHEN 5 THEN 'https' ELSE scheme END AS scheme, host, "
+    "CASE page_id % 7 WHEN 1 THEN 8443 WHEN 2 THEN 80 WHEN 3 THEN 9443 WHEN 4 THEN 443 WHEN 5 THEN 7443 ELSE CASE WHEN scheme = 'https' THEN 443 ELSE 80 END END AS port FROM p), "
     f"u AS (SELECT *, {_URL} AS site FROM n) "
 )
 
@@ -472,3 +473,84 @@ def three_way_partition(spark, sf_dir):
 )
 def summary_counts(spark, sf_dir):
     return C.converge(sites(spark, sf_dir)).summary()
+
+
+# Recorded responses made of the pages table, through the whole analysis.
+_CASE = "page_id % 6"
+_ASSETS = "'<script src=\"/app' || page_id % 3 || '.js\"></script><link rel=\"stylesheet\" href=\"https://cdn.example.net/s.css\">'"
+_BODY = (
+    f"CASE {_CASE} WHEN 1 THEN '<html><title>' || '系统维护中' || '</title><body>' || page_id || '</body></html>' "
+    f"WHEN 2 THEN '{{\"msg\": \"forbidden\", \"requestId\": ' || page_id || '}}' WHEN 3 THEN 'plain  words & numbers ' || page_id "
+    f"WHEN 4 THEN '<html><title>T' || page_id % 2 || '</title>' || {_ASSETS} || '<body>' || repeat('Business words here. ', 40) || '</body></html>' "
+    f"ELSE {_ASSETS} || html END"
+)
+_STATUS = f"CASE {_CASE} WHEN 1 THEN 503 WHEN 2 THEN 403 ELSE 200 END"
+_TYPE = f"CASE {_CASE} WHEN 2 THEN 'application/json' WHEN 3 THEN 'text/plain' WHEN 4 THEN '' ELSE 'text/html; charset=utf-8' END"
+_ROBOTS = "CASE WHEN page_id % 4 < 2 THEN '{\"code\": 404, \"at\": ' || page_id || '}' ELSE 'none' END"
+_ORIGIN = "'http://h' || page_id || '.example.org/'"
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis of one recorded site per page: business pages, maintenance, denials, plain texts and pages without a type."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "html").withColumns({k: F.expr(v) for k, v in {"raw": _ORIGIN, "body": _BODY, "status": _STATUS, "kind": _TYPE, "robots": _ROBOTS}.items()})
+    got = (
+        "named_struct('url', raw, 'status', cast(status as int), 'headers', map('Content-Type', kind, 'ETag', cast(page_id % 2 as string), 'SERVER', 'Nginx'), 'body', cast(body as binary))"
+    )
+    probes = "array(named_struct('path', '/robots.txt', 'status', 404, 'headers', map('content-type', 'application/json'), 'body', cast(robots as binary), 'error', ''))"
+    responses = rows.select("raw", F.expr("array('10.0.0.2', '10.0.0.1', '10.0.0.2')").alias("resolved_ips"), F.lit("").alias("probe_error"), F.expr(got).alias("first"), F.expr(got).alias("final"), F.expr(probes).alias("key_paths"))
+    return analyze(responses, RULES).withColumn("page_id", F.regexp_extract("url", "h([0-9]+)[.]", 1).cast("long"))
+
+
+_SEEN = f"WITH r AS (SELECT page_id, html, {_BODY} AS body, {_STATUS} AS status, {_TYPE} AS kind, {_ROBOTS} AS robots FROM pages) "
+_BODY_TEXT = _TIDY.format(_UNESCAPE.format("regexp_replace(regexp_replace(regexp_replace(body, '(?is)<script.*?>.*?</script>', ' ', 'g'), '(?is)<style.*?>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
+
+
+@query(
+    _SEEN + "SELECT page_id, status, sha256(body) AS body_sha256, CAST(strlen(body) AS BIGINT) AS body_length, split_part(kind, ';', 1) AS content_type, '10.0.0.1|10.0.0.2' AS ips, "
+    f"replace(CASE {_CASE} WHEN 1 THEN '系统维护中' WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN 'T' || page_id % 2 ELSE {_TITLE_SQL} END, '&amp', '&') AS title, "
+    f"substring(replace(CASE {_CASE} WHEN 2 THEN body WHEN 3 THEN 'plain words & numbers ' || page_id ELSE {_BODY_TEXT} END, '&amp', '&'), 1, 4000) AS excerpt, "
+    f"CASE WHEN {_CASE} IN (0, 4, 5) THEN '/app' || page_id % 3 || '.js,//cdn.example.net/s.css' ELSE '' END AS resources FROM r"
+)
+def analyzed_pages(spark, sf_dir):
+    # kinds left out, and the page's own paths before those of other hosts
+    shown = F.array_join(F.reverse(F.array_sort(F.transform("resources", lambda r: F.regexp_replace(r, "^[a-z]+:", "")))), ",")
+    return analysed(spark, sf_dir).select(
+        "page_id", F.col("final_status").alias("status"), "body_sha256", F.col("body_length").cast("long").alias("body_length"), "content_type",
+        F.array_join("resolved_ips", "|").alias("ips"), "title", F.col("body_text_excerpt").alias("excerpt"), shown.alias("resources"),
+    )
+
+
+@query(
+    _SEEN + f"SELECT page_id, CASE {_CASE} WHEN 1 THEN 'maintenance_shell' WHEN 2 THEN 'deny_shell' WHEN 3 THEN 'low_information_shell' ELSE '' END AS shell_type, "
+    f"CASE {_CASE} WHEN 1 THEN '{X.NOISE_GATEWAY}|{X.NOISE_MAINTENANCE}' ELSE '' END AS noise, {_CASE} IN (1, 2, 3) AS low_information, {_CASE} IN (0, 4, 5) AS comparison_ready FROM r"
+)
+def analyzed_classes(spark, sf_dir):
+    noise = F.array_join(F.array_sort("noise_reasons"), "|")
+    return analysed(spark, sf_dir).select("page_id", "shell_type", noise.alias("noise"), "low_information", "comparison_ready")
+
+
+@query(
+    _SEEN + ", d AS (SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 'json' ELSE 'text' END AS k FROM r WHERE " + f"{_CASE} = 2) "
+    "SELECT min(page_id) AS first_page, count(*) AS pages FROM d GROUP BY k"
+)
+def deny_shell_fingerprints(spark, sf_dir):
+    """Denials that differ in unimportant fields only, on their page and on their key path, have one fingerprint."""
+    rows = analysed(spark, sf_dir).where("shell_type = 'deny_shell' and shell_fp is not null")
+    return rows.groupBy("shell_fp").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages")).drop("shell_fp")
+
+
+@query(
+    _SEEN + ", d AS (SELECT page_id, status, kind, body, robots FROM r WHERE " + f"{_CASE} IN (1, 3) AND kind <> '') SELECT min(page_id) AS first_page, count(*) AS pages FROM d GROUP BY status, kind, body, robots"
+)
+def other_shell_fingerprints(spark, sf_dir):
+    rows = analysed(spark, sf_dir).where("shell_type in ('maintenance_shell', 'low_information_shell') and shell_fp is not null")
+    return rows.groupBy("shell_fp").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages")).drop("shell_fp")
+
+
+@query(
+    _SEEN + f"SELECT min(page_id) AS first_page, count(*) AS pages FROM r WHERE {_CASE} = 4 GROUP BY page_id % 2, page_id % 3, CASE WHEN page_id % 4 < 2 THEN cast(page_id as varchar) ELSE '' END"
+)
+def equivalence_fingerprints(spark, sf_dir):
+    """Pages with equal header, redirect, structure, resource and key-path signatures have one fingerprint."""
+    rows = analysed(spark, sf_dir).where("equivalence_fp is not null and page_id % 6 = 4")
+    return rows.groupBy("equivalence_fp").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages")).drop("equivalence_fp")

@@ -7,24 +7,26 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import fixed as X
 from waymark.plans.converge import Result
 
 
 def format_duration(seconds: float) -> str:
-    """Hours, minutes, seconds and milliseconds, rounded to milliseconds."""
+    """The largest unit decides the form: whole hours to seconds, minutes and seconds, seconds to milliseconds, or milliseconds."""
     whole, ms = divmod(max(0, round(seconds * 1000)), 1000)
-    hours, minutes, secs = whole // 3600, whole % 3600 // 60, whole % 60
-    parts = [f"{n}{unit}" for n, unit in ((hours, "小时"), (minutes, "分"), (secs, "秒")) if n]
-    if ms and not hours:
-        parts.append(f"{ms}毫秒")
-    return "".join(parts) or "0毫秒"
+    minutes, secs = divmod(whole, 60)
+    if minutes >= 60:
+        return X.HOURS.format(minutes // 60, minutes % 60, secs)
+    if minutes:
+        return X.MINUTES.format(minutes, secs)
+    return X.SECONDS_MS.format(secs, ms) if secs else X.MS.format(ms)
 
 
 def shorten(urls: list[str], limit: int) -> str:
     if not urls:
-        return "无"
-    head = "，".join(urls[:limit])
-    return head if len(urls) <= limit else f"{head} ...（其余 {len(urls) - limit} 个省略）"
+        return X.NONE
+    head = X.COMMA.join(urls[:limit])
+    return head if len(urls) <= limit else head + X.SHORTENED.format(len(urls) - limit)
 
 
 def merge_groups(result: Result) -> DataFrame:
@@ -64,21 +66,28 @@ def to_json(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, indent=2, default=str)
 
 
-def text_report(result: Result, samples: int = 5) -> str:
-    """A summary with the first rows of every section."""
-    out = ["; ".join(f"{k}: {v}" for k, v in result.summary().first().asDict().items())]
-
-    def section(title: str, df: DataFrame, line) -> None:
-        total = df.count()
-        out.append(f"\n[{title}] {total}")
-        out.extend(line(r) for r in df.limit(samples).collect())
-        if total > samples:
-            out.append(f"其余 {total - samples} 个省略")
-
-    section("噪音站点", result.noise.orderBy("url"), lambda r: f"- {r.url} | {r.status_code} | {'，'.join(r.reasons)}")
-    section("可合并站点组", merge_groups(result), lambda r: f"- {r.group_type} | {r.representative} | {shorten(r.members, samples)}")
-    section("独立站点", result.independent.orderBy("url"), lambda r: f"- {r.url} | {r.status_code} | {r.reason}")
-    section("探测失败", result.failures(samples), lambda r: f"- {r['category']}: {r['count']} | {shorten(r.sample_urls, samples)}")
+def text_report(result: Result, samples: int = 5, extra: dict | None = None) -> str:
+    """Counters, then the first rows of every section; ``extra`` has counters that the tables don't (workers, duration)."""
+    counts = result.summary().first().asDict() | (extra or {})
+    shown = (X.COUNT_INPUT, X.COUNT_WORKERS, X.DURATION, X.COUNT_FAILED, X.COUNT_NOISE, X.COUNT_GROUPS, X.COUNT_MEMBERS, X.COUNT_ALONE)
+    out = [X.HEAD_SUMMARY, *(f"- {name}: {counts[name]}" for name in shown if name in counts)]
+
+    def section(title: str, more: str, df: DataFrame, line) -> None:
+        rows = df.limit(samples + 1).collect()
+        out.extend(["", title])
+        for row in rows[:samples]:
+            out.extend(line(row))
+        if not rows:
+            out.append(f"- {X.NONE}")
+        if len(rows) > samples:
+            out.append(more.format(df.count() - samples))
+
+    def group(r) -> list[str]:
+        values = (r.group_type, r.representative, r.member_count, shorten(r.members, samples), r.reason)
+        return [f"{'  ' if i else '- '}{label}: {value}" for i, (label, value) in enumerate(zip(X.GROUP_LABELS, values, strict=True))]
+
+    section(X.HEAD_FAILURES, X.MORE_FAILURES, result.failures(), lambda r: [X.FAILURE_LINE.format(r["category"], r["count"]), X.SAMPLE_LINE.format(shorten(r.sample_urls, samples))])
+    section(X.HEAD_NOISE, X.MORE_NOISE, result.noise.orderBy("url"), lambda r: [f"- {r.url} [{r.status_code}] {X.SEMICOLON.join(r.reasons)}"])
+    section(X.HEAD_GROUPS, X.MORE_GROUPS, merge_groups(result), group)
+    section(X.HEAD_ALONE, X.MORE_ALONE, result.independent.orderBy("url"), lambda r: [f"- {r.url} [{r.status_code}] {r.reason}"])
     return "\n".join(out)
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 import socket
 import ssl
 import time
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -23,6 +24,17 @@ class _Stay(request.HTTPRedirectHandler):
         return None
 
 
+def unpacked(stream: Any, form: str, most: int) -> bytes:
+    """The first ``most`` bytes of a compressed body; what doesn't unpack is kept as it is."""
+    raw = stream.read(most)
+    for bits in (47, -15) if form == "deflate" else (47,):
+        try:
+            return zlib.decompressobj(bits).decompress(raw, most)
+        except zlib.error:
+            continue
+    return raw
+
+
 def fetch(url: str, follow: bool, timeout: float, rules: Rules) -> dict[str, Any]:
     """One response, with linear back-off between attempts; final TLS errors aren't tried again."""
     context = ssl.create_default_context()
@@ -41,7 +53,9 @@ def fetch(url: str, follow: bool, timeout: float, rules: Rules) -> dict[str, Any
             except error.HTTPError as refused:
                 got = refused
             with got:
-                return {"url": got.geturl(), "status": got.status, "headers": dict(got.headers.items()), "body": got.read(most + 1)[:most]}
+                packed = got.headers.get("Content-Encoding", "").strip().lower()
+                body = unpacked(got, packed, most) if packed in ("gzip", "x-gzip", "deflate") else got.read(most)
+                return {"url": got.geturl(), "status": got.status, "headers": dict(got.headers.items()), "body": body}
         except Exception as problem:
             if attempt == tries or any(w in str(problem).lower() for w in FINAL_TLS_ERRORS):
                 raise

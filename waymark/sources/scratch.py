@@ -11,10 +11,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session leaves it unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master, and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="waymark-"))
     return _fallback[0]

@@ -27,7 +27,7 @@ def parse_sites(lines: DataFrame, rules: Rules, permissive: bool = False, line:
 
 
 def read_sites(spark: SparkSession, path: str, rules: Rules, permissive: bool = False) -> DataFrame:
-    """The sites of a UTF-8 text file; line numbers count from 1."""
+    """The sites of a UTF-8 text file; line numbers count from 1. A list is one value of one task, so that its lines are numbered."""
     whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "value")).withColumn("line_no", F.col("at") + 1)
     return parse_sites(lines, rules, permissive, path=path)
