@@ -1,8 +1,10 @@
 """Toxicity, context mixing, personal data, main text and the pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,8 +83,20 @@ def test_repeated_entities(spark, odd, none):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
 
 
+def small_field():
+    """Trained on texts with phones and cards, some repeated, and plain serial numbers."""
+    rng = random.Random(11)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    seen = Counter()
+    for _ in range(400):
+        phone, serial = f"+1 ({number(3)}) 555-{number(4)}", number(10)
+        for text in (f"Call {phone} or later {phone}, order {serial}.", f"Orders {serial} and {number(9)}; again {serial}.", f"Card 4539578763621486 of x.{number(3)}@y.org and {phone}"):
+            seen.update(pii.examples(text))
+    return pii.Field([(*k, n) for k, n in sorted(seen.items())])
+
+
 def test_many_bare_repeats_of_a_number():
-    field = pii.Field({"shape": Counter({("n11+", 4): 50, ("n10", 0): 5000}), "chain": Counter({("4", 4): 2000}), "skip": Counter({("4", 4): 2000, ("1", 1): 2000})})
+    field = small_field()
     for repeats in (1, 5, 6, 50):
         text = "Call +1 (974) 555-3436 now." + " Or dial 974-555-3436 there." * repeats
         assert len(pii.added_spans(text, pii.base_spans(text), field)) == repeats
@@ -90,6 +104,60 @@ def test_many_bare_repeats_of_a_number():
     assert pii.added_spans(clean, pii.base_spans(clean), field) == []
 
 
+def test_training_finds_agreement():
+    field = small_field()
+    assert field.skip[4, 4] > 1 > 0 > field.skip[0, 4] and field.skip[0, 0] > 0
+    assert np.allclose(field.skip, field.skip.T) and np.allclose(field.chain, field.chain.T)
+    none = pii.Field([])
+    assert not none.skip.any() and none.observe("n10")[[0, 4]].tolist() == [0, 0]
+
+
+def enumerated(unary, edges, potentials):
+    n, k = unary.shape
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        score = sum(unary[i, y] for i, y in enumerate(labels)) + sum(t[labels[a], labels[b]] for (a, b), t in zip(edges, potentials, strict=True))
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(score)
+    return out / out.sum(1, keepdims=True)
+
+
+def test_beliefs_equal_enumeration():
+    rng = np.random.default_rng(2)
+    for n in (2, 4, 6):
+        edges = np.array([(int(rng.integers(i)), i) for i in range(1, n)])
+        unary, potentials = rng.normal(size=(n, 3)), rng.normal(size=(n - 1, 3, 3))
+        assert np.allclose(pii.beliefs(unary, edges, potentials), enumerated(unary, edges, potentials), atol=1e-3)
+    ring = np.array([(0, 1), (1, 2), (2, 3), (0, 3)])
+    unary, potentials = rng.normal(size=(4, 3)), 0.5 * rng.normal(size=(4, 3, 3))
+    assert np.allclose(pii.beliefs(unary, ring, potentials), enumerated(unary, ring, potentials), atol=0.03)
+
+
+def test_long_lists_of_numbers_are_near_linear():
+    rng, field = random.Random(5), small_field()
+    took = []
+    for n in (4000, 16_000):
+        text = "Call +1 (974) 555-3436 now: " + " ".join(f"{rng.randrange(10**9, 10**10)} and x" for _ in range(n)) + " 974-555-3436"
+        began = time.process_time()
+        spans = pii.added_spans(text, pii.base_spans(text), field)
+        took.append(time.process_time() - began)
+        assert any(text[a:b] == "974-555-3436" for _, a, b in spans)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_pii_query(spark):
+    rows = {r.doc_id: r for r in catalog.op10_pii(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        base = brute_pii(d.text or "")
+        r = rows[d.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in (1, 2, 3, 4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k - 1]}:{a}:{b}" for k, a, b in sorted(base)).encode()).hexdigest()
+        spans = [(pii.KINDS.index(k) + 1, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(spans) and spans == sorted(spans)
+
+
 def test_self_closing_svg_and_math():
     for tag in ("<svg/>", "<svg class='i' />", '<math display="block"/>'):
         assert main_text(f"<body><article><p>Before it.</p>{tag}<p>After it.</p></article></body>") == "Before it. After it."

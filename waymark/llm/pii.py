@@ -8,23 +8,27 @@ same address or mailbox name) share a skip potential however far apart they are.
 Mentions of one string are one variable, observed once, so that repeats of a number
 don't outvote the label that it has elsewhere.
 Loopy belief propagation spreads the known labels, so a number that is a phone
-number in one place is one elsewhere. All potentials are smoothed counts over
-the whole corpus (piecewise training).
+number in one place is one elsewhere; only strings that skip potentials join to a known
+label, directly or through others, or that pass a checksum, can get a span. The potentials are trained by
+pseudo-likelihood over the whole corpus: each labelled string is predicted from its form (without
+the mark that made a pattern match it) and from the labels around it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.store import text_or_empty
+from waymark.llm.store import small_batches, text_or_empty
 from waymark.llm.words import without_nulls
 
 #: The kinds in their order, and what their patterns are made of.
@@ -46,6 +50,9 @@ _WORD = re.compile(r"[A-Za-z0-9._%+-]{5,}")
 #: Rounds end when no message moves by more than SETTLED; ROUNDS only stops graphs that never settle.
 ROUNDS, SETTLED, THRESHOLD = 1000, 1e-4, 0.5
 
+#: Cards: their form has a checksum, which is evidence by itself.
+_CHECKED = 3
+
 Span = tuple[int, int, int]
 
 
@@ -134,10 +141,12 @@ def graph_nodes(text: str, base: list[Span]) -> list[tuple[int, int, int, tuple[
         nodes.append((a, b, kind, keys, _shape(part)))
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    # the furthest end of the base spans up to each; spans of different kinds may overlap
+    until = list(accumulate((b for _, b in taken), max))
 
     def free(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b)) - 1
-        return all(taken[j][1] <= a for j in range(max(0, i - 3), i + 1))
+        i = bisect_left(starts, b)
+        return i == 0 or until[i - 1] <= a
 
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
@@ -150,12 +159,13 @@ def graph_nodes(text: str, base: list[Span]) -> list[tuple[int, int, int, tuple[
                     nodes.append((a, b, -1, keys, _shape(text[a:b])))
     if mailboxes:
         spoken = [m for m in _SPOKEN.finditer(text) if free(m.start(), m.end())]
-        covered = {i for m in spoken for i in range(m.start(), m.end())}
+        heads, ends = [m.start() for m in spoken], [m.end() for m in spoken]
+        covered = lambda at: bool((i := bisect_right(heads, at)) and at < ends[i - 1])
         for m in spoken:
             nodes.append((m.start(), m.end(), -1, (_address_key(m[1], m[2]),), "address"))
         for m in _WORD.finditer(text):
             word = m[0].rstrip(".")
-            if word.lower() in mailboxes and m.start() not in covered and free(m.start(), m.start() + len(word)) and text[m.end() : m.end() + 1] != "@":
+            if word.lower() in mailboxes and not covered(m.start()) and free(m.start(), m.start() + len(word)) and text[m.end() : m.end() + 1] != "@":
                 nodes.append((m.start(), m.start() + len(word), -1, ("m:" + word.lower(),), "address"))
     nodes.sort(key=lambda n: n[:3])
     return nodes
@@ -218,71 +228,91 @@ def _variables(nodes: list) -> tuple[list[int], list, dict[tuple[int, int], floa
     return variable, variables, chain, sorted(skip)
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> dict[str, Counter]:
-    """Counts over all documents: (shape, label), (label, label) along chains, and along skips.
+def _form(shape: str) -> str:
+    """What the form allows besides none, as digits of the kinds: the observation of a string, a plus sign left out."""
+    if shape == "address":
+        return "1"
+    digits = int(re.match(r"n([0-9]+)", shape)[1])
+    return ("2" if "i" in shape else "") + ("3" if "v" in shape else "") + ("4" if 8 <= digits <= 15 else "")
+
 
-    Edges count where both ends have a known label. A hidden number counts as none;
-    a hidden address counts for nothing, as base patterns never match its form.
+def examples(text: str) -> list[tuple[str, int, int, int]]:
+    """(form, label, labels beside it, labels of the same string) of every labelled string; sets of labels are bit masks.
+
+    Base spans have their kind. A number that shares no string with any is none; one that
+    does, one that passes the checksum, and addresses in other forms are unlabelled.
     """
+    nodes = graph_nodes(text, base_spans(text))
+    named = {key for n in nodes if n[2] > 0 for key in n[3]}
+    unsure = lambda n: n[4] == "address" or "v" in n[4] or bool(named.intersection(n[3]))
+    label = [n[2] if n[2] > 0 else None if unsure(n) else 0 for n in nodes]
+    masks = [[0, 0] for _ in nodes]
+    for which, edges in enumerate(_edges(nodes)):
+        for a, b in edges:
+            for i, j in ((a, b), (b, a)):
+                if label[j] is not None:
+                    masks[i][which] |= 1 << label[j]
+    return [(_form(n[4]), y, *m) for n, y, m in zip(nodes, label, masks, strict=True) if y is not None]
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int, int, int, int]]:
+    """Examples over all documents with their counts: as many rows as there are forms, labels and sets of labels, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in without_nulls(batch.column(0)).to_pylist():
-                nodes = graph_nodes(text, base_spans(text))
-                label = [n[2] for n in nodes]
-                seen.update(("shape", n[4], str(max(y, 0))) for n, y in zip(nodes, label, strict=True) if y > 0 or n[4] != "address")
-                for part, edges in zip(("chain", "skip"), _edges(nodes), strict=True):
-                    seen.update((part, str(label[a]), str(label[b])) for a, b in edges if label[a] > 0 and label[b] > 0)
-        columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 4
-        yield pa.record_batch(
-            [*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int64())], names=["part", "a", "b", "n"]
-        )
-
-    rows = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "part string, a string, b string, n long")
-    out: dict[str, Counter] = {"shape": Counter(), "chain": Counter(), "skip": Counter()}
-    for r in rows.groupBy("part", "a", "b").agg(F.sum("n").alias("n")).collect():
-        out[r["part"]][(r["a"], int(r["b"]))] = r["n"]
-    return out
+                if "@" in text or _DIGIT.search(text):
+                    seen.update(examples(text))
+        columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 5
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["form", "label", "beside", "same", "n"])
+
+    rows = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "form string, label int, beside int, same int, n long")
+    found = rows.groupBy("form", "label", "beside", "same").agg(F.sum("n").alias("n"))
+    return sorted(tuple(r) for r in found.collect())
 
 
 class Field:
-    """The potentials made from the counts."""
+    """Potentials fitted to examples by pseudo-likelihood under a Gaussian prior.
 
-    def __init__(self, counts: dict[str, Counter]):
-        k = len(LABELS)
-        self.unary: dict[str, np.ndarray] = {}
-        for (shape, label), n in counts["shape"].items():
-            self.unary.setdefault(shape, np.zeros(k))[label] += n
-        self.chain = self._agreement(counts["chain"])
-        self.skip = self._agreement(counts["skip"])
-
-    @staticmethod
-    def _agreement(pairs: Counter) -> np.ndarray:
-        """Log of each pair's share among the pairs of its two labels, symmetric; smoothed towards agreement."""
+    The score of a label is its form's weight, plus one weight for every label beside it
+    and every label of the same string; both tables of weights are symmetric.
+    """
+
+    def __init__(self, seen: list[tuple[str, int, int, int, int]], steps: int = 600, prior: float = 1.0):
         k = len(LABELS)
-        table = np.full((k, k), 0.5) + 4 * np.eye(k)
-        for (a, b), n in pairs.items():
-            table[int(a), b] += n
-            table[b, int(a)] += n
-        side = np.sqrt(table.sum(0))
-        return np.maximum(np.log(table / np.outer(side, side)), -6)
+        forms = sorted({r[0] for r in seen})
+        place = {f: i for i, f in enumerate(forms)}
+        form = np.array([place[r[0]] for r in seen], np.int64)
+        label = np.array([r[1] for r in seen], np.int64)
+        bits = lambda at: np.array([[r[at] >> j & 1 for j in range(k)] for r in seen], float).reshape(-1, k)
+        beside, same, n = bits(2), bits(3), np.array([r[4] for r in seen], float)
+        allowed = np.array([[y == 0 or str(y) in f for y in range(k)] for f in forms]).reshape(-1, k)
+        params = [np.zeros((len(forms), k)), np.zeros((k, k)), np.zeros((k, k))]
+        moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        total = max(n.sum(), 1.0)
+        truth = np.eye(k)[label].reshape(-1, k)
+        for step in range(1, steps + 1 if len(seen) else 1):
+            score = np.where(allowed[form], params[0][form] + beside @ params[1] + same @ params[2], -1e9)
+            score = np.exp(score - score.max(1, keepdims=True))
+            error = (truth - score / score.sum(1, keepdims=True)) * n[:, None]
+            grads = [np.zeros_like(params[0]), beside.T @ error, same.T @ error]
+            np.add.at(grads[0], form, error)
+            grads[1:] = [g + g.T for g in grads[1:]]
+            for p, (g, weight) in enumerate(zip(grads, (0.1, prior, prior), strict=True)):
+                g = (g - weight * params[p]) / total
+                moment[p] = 0.9 * moment[p] + 0.1 * g
+                square[p] = 0.999 * square[p] + 0.001 * g * g
+                rate = 0.1 * 0.5 ** (4 * step / steps)
+                params[p] += rate * (moment[p] / (1 - 0.9**step)) / (np.sqrt(square[p] / (1 - 0.999**step)) + 1e-12)
+        self.unary = {f: np.where(allowed[i], params[0][i], -30.0) for f, i in place.items()}
+        self.chain, self.skip = params[1], params[2]
 
     def observe(self, shape: str) -> np.ndarray:
-        """Half what the corpus says of the shape, half even odds between none and what its form allows."""
-        k = len(LABELS)
-        seen = self.unary.get(shape, np.zeros(k)) + 0.1
-        allowed = np.zeros(k)
-        allowed[0] = 1
-        if shape == "address":
-            allowed[1] = 1
-        else:
-            digits = int(re.match(r"n([0-9]+)", shape)[1])
-            allowed[2] = "i" in shape
-            allowed[3] = "v" in shape
-            allowed[4] = 8 <= digits <= 15
-        seen = seen * allowed
-        return np.log(0.5 * seen / seen.sum() + 0.5 * allowed / allowed.sum() + 1e-9)
+        """The weights of a form; one that was never seen has even odds among what it allows."""
+        form = _form(shape)
+        return self.unary[form] if form in self.unary else np.array([0.0 if y == 0 or str(y) in form else -30.0 for y in range(len(LABELS))])
 
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -312,28 +342,49 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds
     return p / p.sum(1, keepdims=True)
 
 
+def _reached(count: int, known: list[int], skip: list[tuple[int, int]]) -> list[bool]:
+    """Which variables skip edges join to a known one, directly or through others."""
+    near: list[list[int]] = [[] for _ in range(count)]
+    for a, b in skip:
+        near[a].append(b)
+        near[b].append(a)
+    out = [False] * count
+    stack = list(known)
+    while stack:
+        at = stack.pop()
+        if not out[at]:
+            out[at] = True
+            stack += near[at]
+    return out
+
+
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans of hidden nodes that the field labels with a kind; of overlapping ones the likeliest stays."""
-    nodes = graph_nodes(text, base) if base or _DIGIT.search(text) else []
+    nodes = graph_nodes(text, base) if base else []
     if not any(n[2] < 0 for n in nodes):
         return []
     k = len(LABELS)
     variable, variables, chain, skip = _variables(nodes)
+    reached = _reached(len(variables), [i for i, n in enumerate(variables) if n[2] > 0], skip)
     unary = np.stack([field.observe(n[4]) if n[2] < 0 else np.where(np.arange(k) == n[2], 0.0, -30.0) for n in variables])
     edges = np.asarray([*chain, *skip], np.int64).reshape(-1, 2)
     weight = np.asarray(list(chain.values())).reshape(-1, 1, 1)
-    potentials = np.concatenate([field.chain * 0.2 * weight, np.broadcast_to(field.skip, (len(skip), k, k))])
+    potentials = np.concatenate([field.chain * weight, np.broadcast_to(field.skip, (len(skip), k, k))])
     p = beliefs(unary, edges, potentials) if len(edges) else np.exp(unary) / np.exp(unary).sum(1, keepdims=True)
     picks = []
-    for node, q in zip(nodes, p[variable], strict=True):
-        kind = int(q.argmax())
-        if node[2] < 0 and kind and q[kind] > THRESHOLD:
-            picks.append((-float(q[kind]), node[0] - node[1], kind, node[0], node[1]))
-    chosen: list[Span] = []
+    for node, at in zip(nodes, variable, strict=True):
+        kind = int(p[at].argmax())
+        if node[2] < 0 and kind and (reached[at] or kind == _CHECKED) and p[at][kind] > THRESHOLD:
+            picks.append((-float(p[at][kind]), node[0] - node[1], kind, node[0], node[1]))
+    starts: list[int] = []
+    chosen: dict[int, Span] = {}
     for _, _, kind, a, b in sorted(picks):
-        if all(b <= x or y <= a for _, x, y in chosen):
-            chosen.append((kind, a, b))
-    return chosen
+        # the chosen spans don't overlap, so only the neighbours by start can touch
+        i = bisect_left(starts, a)
+        if (i == 0 or chosen[starts[i - 1]][2] <= a) and (i == len(starts) or b <= starts[i]):
+            starts.insert(i, a)
+            chosen[a] = (kind, a, b)
+    return [chosen[a] for a in starts]
 
 
 def _written(spans: list[Span]) -> str:
@@ -347,9 +398,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per input row: id, counts of base spans by kind, their digest, and all spans.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans (and
-    the digest of nothing). Repeated rows and null ids are rows like others; an
-    empty table gives an empty result; other columns are ignored.
+    the digest of nothing). Of overlapping added spans the likeliest stays; ties go to the
+    longer, then the kind, then the place. Repeated rows and null ids are rows like others; an
+    empty table gives an empty result; other columns are ignored. A very long text is a graph of
+    its own, in time and memory near linear in its strings.
     """
+    small_batches(docs.sparkSession)
     field = Field(learn(docs, text_col))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
