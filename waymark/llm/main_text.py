@@ -1,10 +1,11 @@
 """Main text of HTML pages by composite text density.
 
-For every DOM node: its characters per tag, adjusted by how much of the text and
+Page furniture goes first: elements and class names that say what they are. For
+every remaining DOM node: its characters per tag, adjusted by how much of the text and
 how many of the tags are links. A node's density sum adds its block children's
-densities; the node with the largest sum is the core of the content. The lowest
-density on the path from it to the body is the threshold that decides how far up,
-and on pages without an article element which further subtrees, belong to it.
+densities; the node with the largest sum is the core of the content and stays whole. The
+lowest density on the path from it to the body is the threshold for what hangs off
+that path: blocks as dense stay, lists of links go.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +29,19 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset(
-    "head script style noscript template nav aside form footer iframe noframes noembed xmp svg math canvas audio video object embed "
+    "head script style noscript template nav aside header form footer iframe noframes noembed xmp svg math canvas audio video object embed "
     "button select option datalist textarea input dialog menu map".split()
 )
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup signin login sidebar side widget widgets menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead topbar toolbar comment comments disqus respond reply replies related recommended recommendations share sharing "
-    "social search pagination pager copyright legal disclaimer skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notices alert "
+    "popup modal overlay newsletter subscribe subscription signup signin login sidebar widget widgets menu nav navbar navigation breadcrumb "
+    "breadcrumbs header footer masthead topbar toolbar recommended recommendations pager pagination copyright disclaimer".split()
 )
+#: Words that mark furniture only where no word for content stands beside them.
+WEAK = frozenset("promotion banner notice side related share sharing social search legal skip".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+LAYOUT = frozenset("has with no without wrap wrapper container layout grid row page site".split())
+COMMENTS = ("comment", "disqus", "respond", "reply", "replies")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,33 +56,55 @@ _SCOPE = frozenset("html body article section main div table td th ul ol dl li b
 
 
 class _Node:
-    __slots__ = ("chars", "density", "dropped", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "dropped", "link_chars", "link_tags", "marked", "parent", "parts", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
         self.parts: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_furniture(tag: str, attributes: dict[str, str]) -> bool:
+def _is_dropped(tag: str, attributes: dict[str, str]) -> bool:
+    """Elements that are never content, hidden ones, and reader comments whatever else their names say."""
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
     style = attributes.get("style", "").replace(" ", "").lower()
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    words = set(_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & FURNITURE) and not words & CONTENT
+    words = _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    return any(w.startswith(COMMENTS) for w in words)
+
+
+def _is_furniture(tag: str, attributes: dict[str, str]) -> bool:
+    """Class names and ids, each by itself, that name a part of the page's frame."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(_WORDS.findall(name))
+        if not words & LAYOUT and (words & FURNITURE or words & WEAK and not words & CONTENT):
+            return True
+    return False
 
 
 def parse(page: str) -> _Node:
     """A tree of elements and texts; scripts, comments and declarations are left out."""
-    root = _Node("html", None, False)
+    root = _Node("html", None)
     here, at, end = root, 0, len(page)
+    opened: Counter = Counter()
+
+    def up_to(node: _Node) -> _Node:
+        """Close everything below ``node``."""
+        inner = here
+        while inner is not node:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return node
+
     while at < end:
         match = _MARKUP.search(page, at)
         if match is None:
@@ -103,11 +128,12 @@ def parse(page: str) -> _Node:
             at, closed = found.end(), False
         at += 1
         if match[2]:
-            node = here
+            # what follows the end of the body belongs to it
+            node = here if opened[tag] > 0 and tag not in ("html", "body") else None
             while node is not None and node.tag != tag:
                 node = None if tag in INLINE and node.tag in _SCOPE else node.parent
             if node is not None and node.parent is not None:
-                here = node.parent
+                here = up_to(node.parent)
             continue
         if tag in ("html", "body") and here.parent is None and tag == "html":
             continue
@@ -118,20 +144,24 @@ def parse(page: str) -> _Node:
             at = close.end() if close else end
             continue
         if tag not in INLINE and tag != "br":
-            here = _after_paragraph(here)
+            here = up_to(_after_paragraph(here))
         if tag in _CLOSES:
             ends, stops = _CLOSES[tag]
-            node = here
-            while node.parent is not None and node.tag not in stops:
+            node, closing = here, None
+            while node.parent is not None and node.tag not in stops and any(opened[t] > 0 for t in ends):
                 if node.tag in ends:
-                    here = node.parent
+                    closing = node.parent
                     if tag != "tr":
                         break
                 node = node.parent
-        node = _Node(tag, here, _is_furniture(tag, attributes))
+            if closing is not None:
+                here = up_to(closing)
+        dropped = _is_dropped(tag, attributes)
+        node = _Node(tag, here, dropped, not dropped and _is_furniture(tag, attributes))
         here.parts.append(node)
         if tag not in VOID:
             here = node
+            opened[tag] += 1
     return root
 
 
@@ -144,15 +174,22 @@ def _after_paragraph(here: _Node) -> _Node:
     return here
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Counts of every kept node, children before parents."""
-    order, stack = [], [root]
+def _kept(top: _Node) -> list[_Node]:
+    """Every node that isn't dropped, children before parents."""
+    order, stack = [], [top]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [p for p in node.parts if isinstance(p, _Node) and not p.dropped]
     order.reverse()
+    return order
+
+
+def _measure(top: _Node) -> list[_Node]:
+    """Counts of every kept node, children before parents."""
+    order = _kept(top)
     for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len("".join(part.split()))
@@ -166,8 +203,20 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
-def densities(root: _Node, body: _Node) -> list[_Node]:
-    order = _measure(root)
+def _drop_marked(top: _Node) -> None:
+    """Drop what class names mark as furniture, unless it is a wrapper: more than half of the page's text, with an article or its title."""
+    order = _measure(top)
+    titled = set()
+    for node in order:
+        if node.tag in ("article", "main", "h1") or node in titled:
+            titled |= {node, node.parent}
+        if node.marked and not (node in titled and 2 * (node.chars - node.link_chars) > top.chars - top.link_chars):
+            node.dropped = True
+
+
+def densities(body: _Node) -> list[_Node]:
+    """Kept nodes below ``body``, children before parents, with densities and density sums."""
+    order = _measure(body)
     ratio = body.link_chars / max(1, body.chars)
     for node in order:
         if not node.chars:
@@ -175,7 +224,7 @@ def densities(root: _Node, body: _Node) -> list[_Node]:
         tags, plain = max(1, node.tags), max(1, node.chars - node.link_chars)
         links, link_tags = max(1, node.link_chars), max(1, node.link_tags)
         base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
-        node.density = node.chars / tags * max(0.0, math.log(max(1.0, node.chars / links * tags / link_tags)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else 0.0)
+        node.density = node.chars / tags * math.log(max(1.0, node.chars / links * tags / link_tags)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else 0.0
         if not node.density and node.chars > node.link_chars:
             node.density = (node.chars - node.link_chars) / tags
     for node in order:
@@ -221,70 +270,56 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     body = next((p for p in root.parts if isinstance(p, _Node) and p.tag == "body"), root)
-    order = densities(root, body)
-    inside = [n for n in order if n is not root and n.chars and _under(n, body)]
-    core = max(inside, key=lambda n: (n.total, n.chars), default=body)
+    _drop_marked(body)
+    order = densities(body)
+    core = max((n for n in order if n.chars), key=lambda n: (n.total, n.chars), default=body)
+    while core.tag in INLINE and core.parent is not None and core is not body:
+        core = core.parent
     path = [core]
-    while path[-1] is not body and path[-1].parent is not None:
+    while path[-1] is not body:
         path.append(path[-1].parent)
-    threshold = min((n.density for n in path), default=0.0)
-    chosen = _article(core, path, inside, body) or _climb(path, threshold)
+    threshold = min(n.density for n in path)
     blocks: list[str] = []
-    if chosen.tag in ("article", "main") or chosen is body:
-        picks = [chosen]
-    else:
-        picks = [n for n in reversed(order) if n is chosen or _beside(n, chosen, path, threshold)]
-    for pick in picks:
-        text: list[str] = []
-        _render(pick, blocks, text)
-        if text and (rest := " ".join("".join(text).split())):
-            blocks.append(rest)
+    open_text: list[str] = []
+    _render(_selected(path, threshold), blocks, open_text)
+    if rest := " ".join("".join(open_text).split()):
+        blocks.append(rest)
     return " ".join(blocks)
 
 
-def _under(node: _Node, body: _Node) -> bool:
-    while node is not None and node is not body:
-        node = node.parent
-    return node is body
-
-
-def _article(core: _Node, path: list[_Node], inside: list[_Node], body: _Node) -> _Node | None:
-    """The outermost article or main element around the core, or else the longest one below it."""
-    around = [n for n in path if n.tag in ("article", "main")]
-    if around:
-        return next((n for n in around if n.tag == "article"), around[-1])
-    below = [n for n in inside if n.tag in ("article", "main")]
-    longest = max(below, key=lambda n: n.chars, default=None)
-    return longest if longest is not None and 2 * longest.chars >= body.chars else None
-
-
-def _climb(path: list[_Node], threshold: float) -> _Node:
-    """From the core up while a parent is as dense as its child's surroundings allow."""
-    chosen = path[0]
-    for parent in path[1:]:
-        if chosen.tag in INLINE or chosen.tag == "p" or parent.total > chosen.total or parent.density >= chosen.density > threshold:
-            chosen = parent
-        else:
-            break
-    return chosen
-
-
-def _beside(node: _Node, chosen: _Node, path: list[_Node], threshold: float) -> bool:
-    """A block hanging off the path above the chosen node, at least as dense as the threshold."""
-    return (
-        node.parent in path[path.index(chosen) + 1 :]
-        and node not in path
-        and node.tag not in INLINE
-        and node.density >= threshold > 0
-        and 2 * node.link_chars < node.chars
-    )
+def _selected(path: list[_Node], threshold: float) -> _Node:
+    """A tree of what stays: the core (``path[0]``), and on its path up to the body what belongs to it."""
+    below = path[0]
+    last = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+    for i, node in enumerate(path[1:], 1):
+        inside = i <= last
+        copy = _Node(node.tag, None)
+        for part in node.parts:
+            if part is path[i - 1]:
+                copy.parts.append(below)
+            elif isinstance(part, str):
+                if inside or len("".join(part.split())) >= threshold:
+                    copy.parts.append(part)
+            elif not part.dropped and _belongs(part, inside, threshold):
+                copy.parts.append(part)
+        below = copy
+    return below
+
+
+def _belongs(node: _Node, inside: bool, threshold: float) -> bool:
+    """Whether a block beside the path is content: no list of links; and inside an article element, one itself, or dense enough."""
+    if 2 * node.link_chars > node.chars:
+        return False
+    return inside or node.tag in ("article", "main", "br") or node.density >= threshold
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` without ``html_col``, with the main text in ``out`` and its code points in ``n_chars``.
 
-    Every row is kept, repeated ones too; null html counts as empty. An existing
-    column named ``out`` or ``n_chars`` is replaced.
+    Every row is kept, repeated ones and null ids too; null html counts as empty. An existing
+    column named ``out`` or ``n_chars`` is replaced, other columns stay. A page is parsed
+    whole, in time linear in its length and depth, with a tree of some hundred bytes per element. Of equal
+    density sums the node with more text is the core. An empty table gives an empty result.
     """
 
     @F.pandas_udf("string")
