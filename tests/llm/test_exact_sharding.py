@@ -1,8 +1,10 @@
 """Exact copies and shards: stated results, edge cases, hot groups."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
+from waymark.llm import catalog
 from waymark.llm.exact import drop_exact_copies, exact_groups
 from waymark.llm.sharding import shard_documents
 
@@ -69,3 +71,63 @@ def test_string_ids_and_clashing_names(spark):
     assert kept == [("-", "v"), ("b", "y"), ("c", "w"), ("e", "t")]
     assert drop_exact_copies(docs).columns == docs.columns and drop_exact_copies(docs.limit(0)).count() == 0
     assert {(r.doc_id, r.keep_id) for r in exact_groups(docs.where("doc_id is not null")).collect()} == {("a", "b"), ("b", "b"), ("c", "c"), ("d", "e"), ("e", "e")}
+
+
+def cut_pairs(rows, texts):
+    """Pairs of equal texts in different shards, and all pairs, by counting."""
+    groups = defaultdict(Counter)
+    for r in rows:
+        groups[texts[r.doc_id]][r.shard] += 1
+    pairs = sum(n * (n - 1) // 2 for g in groups.values() for n in [sum(g.values())])
+    return pairs - sum(n * (n - 1) // 2 for g in groups.values() for n in g.values()), pairs
+
+
+def test_swaps_gather_where_every_text_has_a_copy(spark):
+    texts = [f"text {i // 2}" for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shard_documents(docs).collect()
+    check_law(rows, len(texts))
+    cut, pairs = cut_pairs(rows, texts)
+    assert cut < 0.1 * pairs
+
+
+def plain_propagation(where, groups, shards, capacity):
+    """Label propagation one member at a time, to a shard with more of its group and a free place, until nothing moves."""
+    load, moved = Counter(where.values()), True
+    while moved:
+        moved = False
+        for members in groups.values():
+            for d in members:
+                held = Counter(where[m] for m in members)
+                best = max((s for s in range(shards) if s == where[d] or load[s] < capacity), key=lambda s: (held[s], -s))
+                if (held[best], -best) > (held[where[d]], -where[d]):
+                    load[where[d]] -= 1
+                    load[best] += 1
+                    where[d], moved = best, True
+    return where
+
+
+def test_cut_is_near_plain_propagation(spark):
+    rng = random.Random(4)
+    for hot in (0, 150):
+        texts = [f"t{rng.randrange(250)}" for _ in range(900)] + ["hot"] * hot + [f"alone {i}" for i in range(400)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = shard_documents(docs).collect()
+        check_law(rows, len(texts))
+        groups = defaultdict(list)
+        for i, t in enumerate(texts):
+            groups[t].append(i)
+        groups = {t: g for t, g in groups.items() if len(g) > 1}
+        start = {i: rng.randrange(8) for g in groups.values() for i in g}
+        where = plain_propagation(dict(start), groups, 8, len(texts) // 8)
+        cut, pairs = cut_pairs(rows, texts)
+        count = lambda w: sum(w[a] != w[b] for g in groups.values() for k, a in enumerate(g) for b in g[k + 1 :])
+        assert cut <= count(where) + 0.1 * pairs and cut < 0.25 * count(start)
+
+
+def test_sharding_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = catalog.op9_sharding(spark, "/root/testdata/sf0.001").collect()
+    check_law(rows, len(docs))
+    text = {d.doc_id: (d.text or "").encode() for d in docs}
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]), "rows", None) for r in rows)

@@ -4,8 +4,8 @@ Documents with equal texts are linked. A group of linked documents is kept as
 one hub with a count per shard, never as pairs. In each round every group names
 the shard that holds most of it among those with room, and its members in
 shards with fewer neighbours ask to move there. Requests are admitted in hash
-order up to each shard's quota; a request that only fits in part is admitted for
-that share of its members. Documents without links are ballast: they start by
+order up to each shard's quota, which counts what others leave in the same round, so that full shards
+can swap; a request that only fits in part is admitted for that share of its members. Documents without links are ballast: they start by
 hash and fill what the linked ones leave, so the final counts differ by one at
 most (the law ``rows``).
 """
@@ -21,23 +21,53 @@ _SPLIT = 1 << 20
 _BUCKETS = 1024
 
 
-def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> DataFrame:
+def quotas(flow: list[list[int]], room: list[int]) -> list[int]:
+    """Rows that each shard can admit when ``flow[s][t]`` ask to go from s to t and ``room`` is free.
+
+    A shard admits the share of its requests that fits into its room and what its
+    own leavers free; shares sink until all fit together.
+    """
+    shards = range(len(room))
+    asked = [sum(flow[s][t] for s in shards) for t in shards]
+    share = [1.0] * len(room)
+    for _ in range(200):
+        share = [min(share[t], (room[t] + sum(flow[t][u] * share[u] for u in shards)) / asked[t]) if asked[t] else 1.0 for t in shards]
+    return [int(share[t] * asked[t]) for t in shards]
+
+
+def propagate(linked: DataFrame, shards: int, total: int) -> DataFrame:
     """Rounds of label propagation over (``__wm_g`` group, ``__wm_s`` shard, ...).
 
-    ``total`` is the number of all documents, ballast included; a shard's quota
-    for incoming members is total / shards less the linked rows it holds. A
-    member moves only to a shard where it has more neighbours (ties: the lower
-    shard), so a settled group doesn't move again; rounds end when nothing moves.
+    ``total`` is the number of all documents, ballast included; a shard's quota for
+    incoming members is total / shards less the linked rows it holds, and what leaves it. A
+    member moves only to a shard where it has more neighbours (ties: by a hash of group
+    and shard), so every round raises the number of linked pairs within shards or closes a
+    shard, and rounds end when no request is left that an open shard has room for. A shard with less than a thousandth of its capacity to
+    offer counts as full, lest rounds move single rows.
     """
     capacity = total // shards
-    for turn in range(rounds):
+    turn, gathered, closed, room = -1, -1, set(), [0] * shards
+    while True:
+        turn += 1
         cells = materialise(linked.groupBy("__wm_g", "__wm_s").agg(F.count(F.lit(1)).alias("__wm_n")), "cells")
-        loads = {r["__wm_s"]: r["n"] for r in cells.groupBy("__wm_s").agg(F.sum("__wm_n").alias("n")).collect()}
-        room = [max(0, capacity - loads.get(s, 0)) for s in range(shards)]
+        held = cells.groupBy("__wm_s").agg(F.sum("__wm_n").alias("n"), F.sum(F.col("__wm_n") * F.col("__wm_n")).alias("pairs")).collect()
+        loads, pairs = {r["__wm_s"]: r["n"] for r in held}, sum(r["pairs"] for r in held)
+        if pairs <= gathered:
+            # a share of little room moved nothing: the shard counts as full from now on
+            offered = [s for s in range(shards) if room[s]]
+            closed.add(min(offered, key=room.__getitem__))
+        gathered = pairs
+        strength = F.struct(F.col("__wm_n").alias("n"), F.xxhash64("__wm_g", "__wm_s").alias("k"), F.col("__wm_s").alias("s"))
+        wish = cells.groupBy("__wm_g").agg(F.max(strength).alias("b"), F.array_agg(strength).alias("c")).where("size(c) > 1")
+        asks = wish.select(F.col("b.s").alias("t"), F.explode(F.filter("c", lambda c: c < F.col("b"))).alias("m"))
+        flow = [[0] * shards for _ in range(shards)]
+        for r in asks.groupBy(F.col("m.s").alias("s"), "t").agg(F.sum("m.n").alias("n")).collect():
+            flow[r["s"]][r["t"]] = r["n"]
+        free = [max(0, capacity - loads.get(s, 0)) for s in range(shards)]
+        room = [n if n >= max(1, capacity // 1000) and s not in closed else 0 for s, n in enumerate(map(max, free, quotas(flow, free)))]
         if not any(room):
             break
         quota = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("__wm_s").cast("int") + 1)
-        strength = F.struct(F.col("__wm_n").alias("n"), (-F.col("__wm_s")).alias("s"))
         best = cells.groupBy("__wm_g").agg(
             F.max(F.when(quota > 0, strength)).alias("__wm_best"),
             F.array_agg(strength).alias("__wm_cells"),
@@ -47,8 +77,8 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> D
         )
         asks = best.where("__wm_best is not null").select(
             "__wm_g",
-            (-F.col("__wm_best.s")).alias("__wm_to"),
-            F.col("__wm_best.n").alias("__wm_have"),
+            F.col("__wm_best.s").alias("__wm_to"),
+            F.col("__wm_best").alias("__wm_have"),
             moving.alias("__wm_ask"),
             F.pmod(F.xxhash64("__wm_g"), F.lit(_BUCKETS)).alias("__wm_b"),
         )
@@ -65,7 +95,7 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> D
         here = cells.withColumnRenamed("__wm_n", "__wm_here")
         turns = materialise(
             here.join(moves, "__wm_g")
-            .where("struct(__wm_here, -__wm_s) < struct(__wm_have, -__wm_to)")
+            .where("struct(__wm_here, xxhash64(__wm_g, __wm_s), __wm_s) < __wm_have")
             .select("__wm_g", "__wm_s", "__wm_to", "__wm_share"),
             "turns",
         )
@@ -79,9 +109,7 @@ def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 12) -> D
     return linked
 
 
-def shard_documents(
-    docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12
-) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, size, text_crc32, linked, shard, slot.
 
     Law ``rows``: the shards' row counts differ by one at most. ``slot`` numbers
@@ -111,7 +139,7 @@ def shard_documents(
         "placed",
     )
     total = rows.count()
-    settled = propagate(placed.where("linked"), shards, total, rounds)
+    settled = propagate(placed.where("linked"), shards, total)
     everyone = settled.unionByName(placed.where("not linked"))
     return _level(everyone, shards, total)
 
