@@ -4,8 +4,10 @@ import base64
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -122,3 +124,40 @@ def test_small_payloads_never_revisit(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     rows = warc.record_digests(warc.read_chunks(warc.write_archives(df, "page_id", "url", "html", min_revisit_bytes=3))).collect()
     assert sorted((r.record_id, r.refers_to) for r in rows if r.record_type == "revisit") == [(4, 3)]
+
+
+def test_long_payloads_go_in_chunks(spark):
+    long = "0123456789abcdef" * (5 << 20)
+    df = spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string")
+    df = df.select("page_id", "url", F.when(F.col("page_id") == 1, F.expr(f"repeat('0123456789abcdef', {5 << 20})")).otherwise(F.col("html")).alias("html"))
+    manifest = warc.write_archives(df, "page_id", "url", "html", file_bytes=1 << 20)
+    rows = {r.record_id: r for r in warc.record_digests(warc.read_chunks(manifest, with_data=False), strict=True).collect()}
+    assert (rows[1].payload_bytes, rows[1].payload_digest) == (len(long), base64.b32encode(hashlib.sha1(long.encode()).digest()).decode())
+    chunks = warc.read_chunks(manifest).where("record_id = 1")
+    assert chunks.count() == 80 and chunks.agg(F.max(F.octet_length("data"))).first()[0] == 1 << 20
+    assert sum(r.records for r in manifest.collect()) == 2
+
+
+def test_files_roll_and_damage_is_an_error(spark, tmp_path):
+    df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 500).alias("html")).coalesce(1)
+    manifest = warc.write_archives(df, "page_id", "url", "html", folder=f"file://{tmp_path}/a", file_bytes=4000, chunk_bytes=300)
+    files = manifest.collect()
+    assert len(files) > 4 and sum(f.records for f in files) == 40
+    assert warc.record_digests(warc.read_chunks(manifest), strict=True).count() == 40
+    path = files[0].path.removeprefix("file://")
+    with open(path, "rb") as f:
+        data = f.read()
+    with open(path, "wb") as f:
+        f.write(data.replace(b"777", b"778", 1) if b"777" in data else data.replace(b"000", b"001", 1))
+    assert warc.record_digests(warc.read_chunks(manifest)).where("not intact").count() == 1
+    with pytest.raises(Exception, match="declares"):
+        warc.record_digests(warc.read_chunks(manifest), strict=True).collect()
+
+
+def test_warc_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+    want = {tuple(r) for r in db.execute(f"select page_id, payload_bytes, payload_digest, record_type, refers_to, intact from ({catalog.OP1_SQL})").fetchall()}
+    got = {tuple(r) for r in catalog.op1_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact").collect()}
+    assert got == want and len(got) == 250

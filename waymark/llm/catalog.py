@@ -25,12 +25,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_revisit_bytes=0)
-    records = warc.record_digests(warc.read_chunks(manifest, with_data=False))
+    records = warc.record_digests(warc.read_chunks(manifest, with_data=False), strict=True)
     return records.select(
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
     )
 
 
+_FIVE = " + ".join(f"{16 >> j} * CAST(substr(bits, 5 * i + {j + 1}, 1) AS INT)" for j in range(5))
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT *, CAST(unhex(sha1(html)) AS BIT)::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM d
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
 
@@ -104,4 +116,4 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_exact_dedup": OP8_SQL}

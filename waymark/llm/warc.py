@@ -1,10 +1,12 @@
 """WARC archives written and read in parallel as chunked record tables.
 
-A writer task streams its rows into archive files in the shared folder and
-returns a manifest row per file; only files named in the committed manifest
-are ever read, so files of failed or repeated attempts don't count. A reader
-task streams a file in blocks and yields rows (record, chunk number, bytes) that
-carry the running SHA-1 and length, so neither side holds a whole record.
+On both sides a payload goes to and from Python as rows (record, chunk number, bytes)
+with a running SHA-1 and length; no Python process ever holds a whole one. A first pass over
+the chunks gives each payload's digest, which the archive's headers need before the
+payload. A writer task then streams chunk rows into archive files in the shared
+folder, checks the digest that it was told, and returns a manifest row per file; only
+files named in the committed manifest are ever read, so files of failed or repeated
+attempts don't count. A reader task streams a file in blocks into chunk rows.
 """
 
 from __future__ import annotations
@@ -64,37 +66,76 @@ def _heads(row_id: int | None, uri: str | None, size: int, digest: str, first: i
     return _VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
+def _chunk_rows(rows: DataFrame, chunk_bytes: int, body: str = "payload") -> DataFrame:
+    """A row per chunk of the binary column ``body``, at least one: ``chunk`` (from 0), ``data``, ``last``; a row's chunks stay together, in order."""
+    count = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length(body), F.lit(0)) / chunk_bytes)).cast("int")
+    spread = rows.withColumn("chunks", count).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    data = F.substring(F.col(body), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return spread.withColumns({"data": data, "last": F.col("chunk") + 1 == F.col("chunks")}).drop(body, "chunks")
+
+
+_KEY = ["h1", "h2", "size"]
+
+
+def _digests(records: DataFrame, chunk_bytes: int) -> DataFrame:
+    """id, key of the payload and bare hex SHA-1 of every record, from the running digest of its chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha1()
+        for batch in batches:
+            ends, found = [], []
+            for i, (data, last) in enumerate(zip(batch.column(4), batch.column(5).to_pylist(), strict=True)):
+                sha.update(data.as_buffer() or b"")
+                if last:
+                    ends.append(i)
+                    found.append(sha.hexdigest())
+                    sha = hashlib.sha1()
+            pick = pa.array(ends, pa.int64())
+            yield pa.record_batch([*(batch.column(i).take(pick) for i in range(4)), pa.array(found, pa.string())], names=["id", *_KEY, "sha1"])
+
+    chunks = _chunk_rows(records.select("id", *_KEY, "payload"), chunk_bytes).select("id", *_KEY, "data", "last")
+    return chunks.mapInArrow(run, "id long, h1 long, h2 long, size long, sha1 string")
+
+
 def write_archives(
-    rows: DataFrame, id_col: str, uri_col: str, payload_col: str, min_revisit_bytes: int = 0, folder: str | None = None
+    rows: DataFrame,
+    id_col: str,
+    uri_col: str,
+    payload_col: str,
+    min_revisit_bytes: int = 0,
+    folder: str | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write one record per row; returns the manifest (path, bytes, records), stored.
 
     The payload is binary, or a string taken as UTF-8; null is empty. Of equal
     payloads of at least ``min_revisit_bytes``, the row with the smallest id is the
     response and the others revisit it; rows repeated with that same id are all
-    responses, and so are rows with a null id that only equal each other. The
-    folder must be one that every executor can write (default: in the shared folder).
+    responses, and so are rows with a null id that only equal each other. A very long
+    payload is one value of its row, but Python sees it in chunks only; a record larger than ``file_bytes``
+    has a file of its own. An empty table gives an empty manifest. Ids are cast to long, other
+    columns are ignored, whatever their names. The folder must be one that every
+    executor can write (default: in the shared folder).
     """
     spark = rows.sparkSession
     folder = folder or shared_path(spark, "archives")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     records = rows.select(
         F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload")
-    ).withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload")})
-    firsts = materialise(
-        records.where(F.col("size") >= min_revisit_bytes)
-        .groupBy("sha1")
-        .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first is not null")
-        .select("sha1", "first"),
-        "firsts",
+    ).withColumns({"h1": F.xxhash64("payload"), "h2": F.crc32("payload"), "size": F.octet_length("payload").cast("long")})
+    digests = materialise(_digests(records, chunk_bytes), "digests")
+    firsts = (
+        digests.where(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .select("sha1", F.when(F.col("n") > 1, F.col("first")).alias("first"))
     )
-    joined = lookup_join(records, firsts, ["sha1"], "left")
+    known = digests.groupBy(*_KEY).agg(F.min("sha1").alias("sha1")).join(firsts, "sha1", "left")
+    joined = lookup_join(records, materialise(known, "known"), _KEY, "left")
     revisit = (
         F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")) & (F.col("size") >= min_revisit_bytes)
     )
     ready = joined.select(
-        "id", "uri", "sha1", F.col("size").cast("long").alias("size"), F.when(revisit, F.col("first")).alias("first"),
+        "id", "uri", "sha1", "size", F.when(revisit, F.col("first")).alias("first"),
         revisit.alias("revisit"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
@@ -106,37 +147,43 @@ def write_archives(
         store.create_dir(root, recursive=True)
         prefix = f"part-{task.partitionId():06d}-{uuid.uuid4().hex[:12]}"
         done: list[tuple[str, int, int]] = []
-        out, size, count = None, 0, 0
+        out, size, count, sha = None, 0, 0, hashlib.sha1()
         for batch in batches:
-            ids, uris, sha1s, sizes, firsts_, revisits = (batch.column(i).to_pylist() for i in range(6))
-            bodies = batch.column(6)
+            ids, uris, sha1s, sizes, firsts_, revisits, chunks, lasts = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6, 8))
+            bodies = batch.column(7)
             for i, row_id in enumerate(ids):
-                if out is not None and size >= FILE_BYTES:
-                    out.close()
-                    done.append((name, size, count))
-                    out = None
-                if out is None:
-                    name = f"{prefix}-{len(done):04d}.warc"
-                    out, size, count = store.open_output_stream(f"{root}/{name}"), 0, 0
-                head = _heads(row_id, uris[i], sizes[i], bare_base32(sha1s[i]), firsts_[i], revisits[i])
-                out.write(head)
-                size += len(head) + 4
+                if not chunks[i]:
+                    if out is not None and size >= file_bytes:
+                        out.close()
+                        done.append((name, size, count))
+                        out = None
+                    if out is None:
+                        name = f"{prefix}-{len(done):04d}.warc"
+                        out, size, count = store.open_output_stream(f"{root}/{name}"), 0, 0
+                    head = _heads(row_id, uris[i], sizes[i], bare_base32(sha1s[i]), firsts_[i], revisits[i])
+                    out.write(head)
+                    size += len(head) + 4
+                    sha = hashlib.sha1()
                 if not revisits[i]:
-                    body = memoryview(bodies[i].as_buffer() or b"")
-                    for at in range(0, len(body), CHUNK_BYTES):
-                        out.write(body[at : at + CHUNK_BYTES])
+                    body = bodies[i].as_buffer() or b""
+                    sha.update(body)
+                    out.write(body)
                     size += len(body)
-                out.write(b"\r\n\r\n")
-                count += 1
+                if lasts[i]:
+                    if not revisits[i] and sha.hexdigest() != sha1s[i]:
+                        raise ValueError(f"the payload of {row_id} hasn't the digest that its header declares")
+                    out.write(b"\r\n\r\n")
+                    count += 1
         if out is not None:
             out.close()
             done.append((name, size, count))
         yield pa.record_batch(
-            [pa.array([f"{folder}/{d[0]}" for d in done]), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())],
+            [pa.array([f"{folder}/{d[0]}" for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())],
             names=["path", "bytes", "records"],
         )
 
-    return materialise(ready.mapInArrow(write, MANIFEST), "manifest")
+    spread = _chunk_rows(ready, chunk_bytes).select("id", "uri", "sha1", "size", "first", "revisit", "chunk", "data", "last")
+    return materialise(spread.mapInArrow(write, MANIFEST), "manifest")
 
 
 class _Stream:
@@ -236,15 +283,16 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data:
     return manifest.select("path").repartition(files).mapInArrow(read, CHUNKS)
 
 
-def record_digests(chunks: DataFrame) -> DataFrame:
+def record_digests(chunks: DataFrame, strict: bool = False) -> DataFrame:
     """One row per record from the rows marked ``last``: sizes, digests, type, reference, intact.
 
     A revisit has no payload of its own; its length and digest are those it
     declares. ``intact`` says that a response's bytes have the digest and length
-    that it declares.
+    that it declares; with ``strict`` a record that isn't intact is an error. An empty
+    table gives an empty result.
     """
     stored = F.col("record_type") != "revisit"
-    return chunks.where("last").select(
+    found = chunks.where("last").select(
         "record_id",
         F.when(stored, F.col("running_bytes")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(stored, F.col("running_digest")).otherwise(F.col("declared_digest")).alias("payload_digest"),
@@ -253,6 +301,8 @@ def record_digests(chunks: DataFrame) -> DataFrame:
         "uri",
         (~stored | ((F.col("running_digest") == F.col("declared_digest")) & (F.col("running_bytes") == F.col("declared_bytes")))).alias("intact"),
     )
+    broken = F.concat(F.lit("record "), F.coalesce(F.col("record_id").cast("string"), F.lit("none")), F.lit(" hasn't the digest or length that it declares"))
+    return found.where(F.when(F.col("intact"), True).otherwise(F.raise_error(broken).cast("boolean"))) if strict else found
 
 
 def payloads(chunks: DataFrame) -> DataFrame:
