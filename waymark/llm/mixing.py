@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.bits import Learner, Mixer, Shape, merged, slot_bits
-from waymark.llm.store import lookup_join, materialise, text_or_empty
+from waymark.llm.store import lookup_join, materialise, small_batches, text_or_empty
 from waymark.llm.words import Window, Words, lowered, mix, split_words, windows, without_nulls
 
 #: Text of a window; repetitions within a text are looked for in one window.
@@ -52,6 +52,8 @@ EXPERTS = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5)
 #: Training tokens and distinct words of a learner's task, at least, and the most tasks of a training pass.
 TASK_TOKENS, TASK_WORDS, TASKS = 2_000_000, 200_000, 16_384
 _MATCHES, _DEPTHS, _LOT = 6, 6, 8192
+#: The kind of a decision on a repetition, by the hits before it.
+_RUNS = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5], np.int32)
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
 _K1, _K2, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
@@ -262,19 +264,19 @@ class Decisions:
 def decisions(t: Tokens, lexicon: Lexicon, cell: np.ndarray) -> tuple[Decisions, np.ndarray]:
     """The decisions, and which tokens were told by a repetition alone."""
     has, hit, run = repeats(t)
-    steps = np.where(hit, 0, lexicon.length[cell])
-    count = steps + has
-    token = np.repeat(np.arange(len(cell)), count)
-    place = np.arange(len(token)) - (np.cumsum(count) - count)[token]
-    asked = has[token]
-    depth = place - asked
-    width = lexicon.node.shape[1]
-    at = cell[token] * width + np.maximum(depth, 0)
-    match = depth < 0
-    bucket = np.minimum(np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])[np.minimum(run, 9)], _MATCHES - 1)[token]
-    node = np.where(match, bucket, lexicon.node.ravel()[at]).astype(np.int32)
-    kind = np.where(match, bucket, _MATCHES + np.minimum(depth, _DEPTHS - 1)).astype(np.int32)
-    bit = np.where(match, hit[token], lexicon.bit.ravel()[at]).astype(np.uint8)
+    count = np.where(hit, 0, lexicon.length.take(cell)) + has
+    token = np.repeat(np.arange(len(cell), dtype=np.int32), count)
+    # a token's first decision is about the repetition, if it has one; the others go down the tree
+    first = (np.cumsum(count) - count + has).astype(np.int32)
+    depth = np.arange(len(token), dtype=np.int32) - first.take(token)
+    match = np.flatnonzero(depth < 0)
+    depth[match] = 0
+    at = (cell * lexicon.node.shape[1]).take(token) + depth
+    node, bit = lexicon.node.ravel().take(at), lexicon.bit.ravel().take(at)
+    kind = np.minimum(depth, _DEPTHS - 1) + np.int32(_MATCHES)
+    asked = token[match]
+    kind[match] = node[match] = _RUNS[np.minimum(run[asked], len(_RUNS) - 1)]
+    bit[match] = hit[asked]
     before = np.concatenate([[0], cell[:-1] + 1]).astype(np.uint32)[: len(cell)]
     before[t.one == _START] = 0
     two = np.concatenate([[0], before[:-1]]).astype(np.uint32)[: len(cell)]
@@ -513,19 +515,15 @@ def rate(model: Model, window: Window, t: Tokens, held_out: np.ndarray, parts: l
     log_p = path + np.where(told, share, 0)
     times, owner = _times(t), t.owner()
     since = np.arange(len(cell)) - t.first[owner]
-    own = np.log(np.maximum(times, 1e-300)) - np.log(np.maximum(since, 1))
-    cached = (times > 0) & ~hit
-    rated = []
-    for weight in EXPERTS:
-        if not weight:
-            rated.append(log_p)
-            continue
-        fresh = np.where(hit | (since == 0), log_p, log_p + math.log1p(-weight))
-        again = own + math.log(weight)
-        rated.append(np.where(cached, np.where(inside, np.logaddexp(fresh, again), again), fresh))
-    base = np.where(inside, np.log10((count + 1) / (lex.total + 1.0 * (lex.distinct + 1))), 0)
+    own = np.log(np.maximum(times, 1)) - np.log(np.maximum(since, 1))
     texts = len(t.first) - 1
-    sums = [np.bincount(owner, x, texts) for x in (base, inside, *rated)]
+    plain = np.bincount(owner, log_p, texts)
+    mixes = np.bincount(owner, ~hit & (since > 0), texts)
+    again = np.flatnonzero((times > 0) & ~hit)
+    whose, own, here, rare = owner[again], own[again], log_p[again], ~inside[again]
+    rated = [plain if not w else plain + mixes * math.log1p(-w) + np.bincount(whose, _gain(here + math.log1p(-w), own + math.log(w), rare), texts) for w in EXPERTS]
+    base = np.where(inside, np.log10((count + 1) / (lex.total + 1.0 * (lex.distinct + 1))), 0)
+    sums = [*(np.bincount(owner, x, texts) for x in (base, inside)), *rated]
     for i in range(texts):
         part = parts[i]
         part.tokens += int(t.first[i + 1] - t.first[i])
@@ -552,6 +550,11 @@ def rate(model: Model, window: Window, t: Tokens, held_out: np.ndarray, parts: l
         row[2] += new
 
 
+def _gain(path: np.ndarray, own: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """What the text's own words add to a token's path; rare words are coded by them alone."""
+    return np.where(rare, own, np.logaddexp(path, own)) - path
+
+
 def _names(t: Tokens, at: np.ndarray) -> list[bytes]:
     word = t.word_at[at]
     real = np.flatnonzero(word >= 0)
@@ -594,6 +597,7 @@ def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id"
     too. Without training documents every count is 0 and the model is untaught. An empty
     table gives an empty result; repeated rows are rows like others; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     marked = slim.select("id", "text", (~F.coalesce(F.expr(train), F.lit(True))).alias("held_out"))
     model, rest = fit(marked.where("not held_out").select("text"))
