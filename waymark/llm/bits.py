@@ -52,7 +52,7 @@ def slot_bits(events: int, least: int, most: int) -> int:
 
 def _level(seen: np.ndarray) -> np.ndarray:
     """How much a context has seen, in five levels."""
-    return (seen > 0).astype(np.int32) + (seen > 2) + (seen > 7) + (seen > 63)
+    return (seen > 0).view(np.int8) + (seen > 2).view(np.int8) + (seen > 7).view(np.int8) + (seen > 63).view(np.int8)
 
 
 def _squash(logit: np.ndarray) -> np.ndarray:
@@ -61,9 +61,11 @@ def _squash(logit: np.ndarray) -> np.ndarray:
 
 def _mixed(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
     """Weighted sum of the predictors' log odds; the last column of the weights is a constant."""
-    total = weights[:, -1].take(gate)
+    total = weights[:, -1].take(gate, mode="clip")
     for p, s in enumerate(odds):
-        total += weights[:, p].take(gate) * s
+        part = weights[:, p].take(gate, mode="clip")
+        part *= s
+        total += part
     return np.clip(total, -12, 11.999, out=total)
 
 
@@ -73,6 +75,8 @@ class Learner:
     def __init__(self, shape: Shape):
         self.shape = shape
         self.counts = np.zeros(2 * shape.starts[-1], np.uint32)
+        #: Both counts of a slot in one value, ones above zeros.
+        self.pairs = self.counts.view("<u8")
         self.weights = np.full((shape.gates, len(shape.bits) + 1), 0.3, np.float32)
         self.weights[:, -1] = 0
         self.square = np.full(self.weights.shape, 1e-2)
@@ -84,30 +88,34 @@ class Learner:
         if not len(bits):
             return
         shape, odds, level = self.shape, [], {}
-        places = [2 * (slot.astype(np.int64) + start) for slot, start in zip(slots, shape.starts, strict=False)]
+        places = [slot.astype(np.int64) + start for slot, start in zip(slots, shape.starts, strict=False)]
         for p, place in enumerate(places):
-            zeros, ones = self.counts.take(place), self.counts.take(place + 1)
+            both = self.pairs.take(place, mode="clip").view("<u4")
+            zeros, ones = both[::2].astype(np.float32), both[1::2].astype(np.float32)
             if p in shape.gate_by:
                 level[p] = _level(zeros + ones)
             a = np.float32(shape.prior[p])
-            odds.append(np.log((ones + a) / (zeros + a), dtype=np.float32))
-        gate = kind * 25 + level[shape.gate_by[0]] * 5 + level[shape.gate_by[1]]
+            zeros += a
+            ones += a
+            ones /= zeros
+            odds.append(np.log(ones, out=ones))
+        gate = (kind * 25 + level[shape.gate_by[0]] * 5 + level[shape.gate_by[1]]).astype(np.int64)
         mixed = _mixed(self.weights, gate, odds)
         error = bits - _squash(mixed)
         hit = np.bincount(gate, minlength=shape.gates)
         share = 1 / np.maximum(hit, 1)
         for p, s in enumerate([*odds, np.float32(1)]):
-            grad = np.bincount(gate, error * s, shape.gates) * share
+            grad = np.bincount(gate, (error * s).astype(np.float64), shape.gates) * share
             self.square[:, p] += grad * grad
             self.weights[:, p] += _RATE * grad / np.sqrt(self.square[:, p])
         self.hits += hit
-        column = kind * len(_CURVE) + ((mixed + 12.25) * 2).astype(np.int32)
+        column = (kind * len(_CURVE) + ((mixed + 12.25) * 2).astype(np.int32)).astype(np.int64)
         self.sums += np.bincount(column, bits, self.sums.size).reshape(self.sums.shape)
         self.seen += np.bincount(column, minlength=self.seen.size).reshape(self.seen.shape)
         # an array of the table's own type keeps ufunc.at on its fast path
-        came, ones = bits.astype(np.int64), np.ones(len(bits), np.uint32)
+        came = np.where(bits > 0, np.uint64(1 << 32), np.uint64(1))
         for place in places:
-            np.add.at(self.counts, place + came, ones)
+            np.add.at(self.pairs, place, came)
 
     def rows(self) -> pa.RecordBatch:
         """The learner as rows (block, data): compressed counts, and one row of everything else."""
@@ -195,21 +203,21 @@ class Mixer:
         code = np.arange(1 << 16)
         zeros, ones = _COUNT[code & 255], _COUNT[code >> 8]
         self._odds = [np.log((ones + a) / (zeros + a)).astype(np.float32) for a in shape.prior]
-        self._levels = _level(np.round(zeros + ones)).astype(np.int32)
+        self._levels = _level(np.round(zeros + ones))
 
     def cost(self, slots: list[np.ndarray], kind: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Each decision's cost: minus the natural logarithm of the probability of the bit that came."""
         shape, odds, level = self.shape, [], {}
         for p, (slot, start) in enumerate(zip(slots, shape.starts, strict=False)):
-            code = self.codes.take(slot.astype(np.int64) + start)
+            code = self.codes.take(slot.astype(np.int64) + start, mode="clip").astype(np.int64)
             if p in shape.gate_by:
-                level[p] = self._levels.take(code)
-            odds.append(self._odds[p].take(code))
-        mixed = _mixed(self.weights, kind * 25 + level[shape.gate_by[0]] * 5 + level[shape.gate_by[1]], odds)
+                level[p] = self._levels.take(code, mode="clip")
+            odds.append(self._odds[p].take(code, mode="clip"))
+        mixed = _mixed(self.weights, (kind * 25 + level[shape.gate_by[0]] * 5 + level[shape.gate_by[1]]).astype(np.int64), odds)
         column = (mixed + 12) * 2
         low = column.astype(np.int32)
-        share = column - low
-        at = kind * len(_CURVE) + low
-        curve = self.refine.take(at) * (1 - share) + self.refine.take(at + 1) * share
+        share = column - low.astype(np.float32)
+        at = (kind * len(_CURVE) + low).astype(np.int64)
+        curve = self.refine.take(at, mode="clip") * (1 - share) + self.refine.take(at + 1, mode="clip") * share
         final = 0.5 * (mixed + curve)
         return np.log1p(np.exp(np.where(bits > 0, -final, final)))

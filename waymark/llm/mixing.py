@@ -52,6 +52,8 @@ EXPERTS = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5)
 #: Training tokens and distinct words of a learner's task, at least, and the most tasks of a training pass.
 TASK_TOKENS, TASK_WORDS, TASKS = 2_000_000, 200_000, 16_384
 _MATCHES, _DEPTHS, _LOT = 6, 6, 8192
+#: Tokens that are rated at a time; scores don't depend on it.
+_RATED = 2048
 #: The kind of a decision on a repetition, by the hits before it.
 _RUNS = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5], np.int32)
 _END = np.uint64(0x2545F4914F6CDD1D)
@@ -185,8 +187,15 @@ class Lexicon:
     bit: np.ndarray
     shape: Shape
     log_unknown: float = field(init=False)
+    #: The cells' paths one after another, each behind a place for a decision on a repetition: where they start, and nodes, bits and kinds.
+    path: np.ndarray = field(init=False)
+    steps: tuple[np.ndarray, np.ndarray, np.ndarray] = field(init=False)
 
     def __post_init__(self):
+        cell = np.repeat(np.arange(len(self.length)), self.length + 1)
+        self.path = np.cumsum(self.length + 1) - self.length
+        depth = np.maximum(np.arange(len(cell)) - self.path[cell], 0)
+        self.steps = self.node[cell, depth], self.bit[cell, depth], np.minimum(depth, _DEPTHS - 1).astype(np.int32) + np.int32(_MATCHES)
         free = self.discount * self.distinct
         self.log_unknown = math.log(free) - float(self.log_weight[-1]) if self.distinct else 0.0
 
@@ -238,52 +247,65 @@ def make_lexicon(hashes: np.ndarray, count: np.ndarray, total: int, distinct: in
 
 
 @dataclass
-class Decisions:
-    """All binary decisions of a window's tokens, in their order."""
+class Lot:
+    """The binary decisions of some tokens, in their order: each one's token, slots in the predictors' tables, kind and bit."""
 
+    tokens: slice
     token: np.ndarray
-    node: np.ndarray
+    slots: list[np.ndarray]
     kind: np.ndarray
     bit: np.ndarray
+
+
+@dataclass
+class Decisions:
+    """What the binary decisions of a window's tokens are made from; only those of a lot of tokens are held at a time."""
+
+    count: np.ndarray
+    start: np.ndarray
+    has: np.ndarray
+    hit: np.ndarray
+    run: np.ndarray
     contexts: tuple[np.ndarray, np.ndarray, np.ndarray]
-    shape: Shape
+    lexicon: Lexicon
 
-    def lots(self, tokens: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
-        """Ranges of decisions, with their slots in every predictor's table."""
-        cuts = np.searchsorted(self.token, np.arange(0, tokens + _LOT, _LOT))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = slice(a, b)
-            token, node = self.token[part], self.node[part]
-            turned = (node.astype(np.uint32) + np.uint32(1)) * _A32
+    def lots(self, size: int = _LOT) -> Iterator[Lot]:
+        nodes, came, kinds = self.lexicon.steps
+        for a in range(0, len(self.count), size):
+            part = slice(a, min(a + size, len(self.count)))
+            count, has = self.count[part], self.has[part]
+            first = np.cumsum(count) - count
+            token = np.repeat(np.arange(len(count)), count)
+            at = (self.start[part] - first).take(token, mode="clip")
+            at += np.arange(len(token))
+            node, bit, kind = nodes.take(at, mode="clip"), came.take(at, mode="clip"), kinds.take(at, mode="clip")
+            match = first[has]
+            kind[match] = node[match] = _RUNS[np.minimum(self.run[part][has], len(_RUNS) - 1)]
+            bit[match] = self.hit[part][has]
+            turned = (node.view(np.uint32) + np.uint32(1)) * _A32
             slots = [node]
-            for context, bits in zip(self.contexts, self.shape.bits[1:], strict=True):
-                slots.append(((context.take(token) + turned) * _B32) >> np.uint32(32 - bits))
-            yield part, slots
+            for context, bits in zip(self.contexts, self.lexicon.shape.bits[1:], strict=True):
+                slot = context[part].take(token, mode="clip")
+                slot += turned
+                slot *= _B32
+                slot >>= np.uint32(32 - bits)
+                slots.append(slot)
+            yield Lot(part, token, slots, kind, bit)
 
 
 def decisions(t: Tokens, lexicon: Lexicon, cell: np.ndarray) -> tuple[Decisions, np.ndarray]:
     """The decisions, and which tokens were told by a repetition alone."""
     has, hit, run = repeats(t)
-    count = np.where(hit, 0, lexicon.length.take(cell)) + has
-    token = np.repeat(np.arange(len(cell), dtype=np.int32), count)
     # a token's first decision is about the repetition, if it has one; the others go down the tree
-    first = (np.cumsum(count) - count + has).astype(np.int32)
-    depth = np.arange(len(token), dtype=np.int32) - first.take(token)
-    match = np.flatnonzero(depth < 0)
-    depth[match] = 0
-    at = (cell * lexicon.node.shape[1]).take(token) + depth
-    node, bit = lexicon.node.ravel().take(at), lexicon.bit.ravel().take(at)
-    kind = np.minimum(depth, _DEPTHS - 1) + np.int32(_MATCHES)
-    asked = token[match]
-    kind[match] = node[match] = _RUNS[np.minimum(run[asked], len(_RUNS) - 1)]
-    bit[match] = hit[asked]
+    count = np.where(hit, 0, lexicon.length.take(cell)) + has
+    start = lexicon.path.take(cell) - has
     before = np.concatenate([[0], cell[:-1] + 1]).astype(np.uint32)[: len(cell)]
     before[t.one == _START] = 0
     two = np.concatenate([[0], before[:-1]]).astype(np.uint32)[: len(cell)]
     two[t.two == _START] = 0
     high = lambda h: (h >> np.uint64(32)).astype(np.uint32)
     contexts = (high(t.one), high(mix(t.one * _K1 + t.two)), (before * np.uint32(1 << 12) + two) * np.uint32(0xC2B2AE35))
-    return Decisions(token, node, kind, bit, contexts, lexicon.shape), hit
+    return Decisions(count, start, has, hit, run, contexts, lexicon), hit
 
 
 class _Reader:
@@ -364,8 +386,8 @@ def learn_words(texts: DataFrame, lexicon: Lexicon) -> Mixer:
         for batch in batches:
             for _, t in reader.read(batch.column(0)):
                 found, _ = decisions(t, known, known.cells(known.head.find(t.hashes)))
-                for part, slots in found.lots(len(t.hashes)):
-                    learner.step(slots, found.kind[part], found.bit[part])
+                for lot in found.lots():
+                    learner.step(lot.slots, lot.kind, lot.bit)
         yield learner.rows()
 
     tasks = min(TASKS, max(context.defaultParallelism, lexicon.total // TASK_TOKENS))
@@ -504,10 +526,9 @@ def rate(model: Model, window: Window, t: Tokens, held_out: np.ndarray, parts: l
     place = lex.head.find(t.hashes)
     cell = lex.cells(place)
     found, hit = decisions(t, lex, cell)
-    cost = [np.zeros(0)]
-    for part, slots in found.lots(len(t.hashes)):
-        cost.append(model.words.cost(slots, found.kind[part], found.bit[part]))
-    path = -np.bincount(found.token, np.concatenate(cost), len(cell))
+    path = np.zeros(len(cell))
+    for lot in found.lots(_RATED):
+        path[lot.tokens] -= np.bincount(lot.token, model.words.cost(lot.slots, lot.kind, lot.bit), lot.tokens.stop - lot.tokens.start)
     count = np.where(place >= 0, lex.head.count.take(place), 0)
     inside = place >= 0
     share = np.log(np.maximum(count - lex.discount, 1e-300)) - lex.log_weight[cell]

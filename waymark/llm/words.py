@@ -93,14 +93,20 @@ def split_words(texts: pa.Array, at: int, to: int, prefixes: Sequence[int] = ())
 
 def _hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: Sequence[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     sizes = ends - starts
-    out = np.full(len(starts), _SEED)
     found = {k: np.zeros(len(starts), np.uint64) for k in prefixes}
-    live = np.arange(len(starts))
-    for k in range(min(_LONG, int(sizes.max(initial=0)))):
-        live = live[sizes[live] > k]
+    # longest words first, so that those which have a byte k are a slice
+    capped = np.minimum(sizes, _LONG).astype(np.uint8)
+    order = np.argsort(capped, kind="stable")[::-1]
+    longer = len(starts) - np.cumsum(np.bincount(capped, minlength=1))
+    at, value = starts.take(order), np.full(len(starts), _SEED)
+    for k, live in enumerate(longer[:-1].tolist()):
         if k in found:
-            found[k][live] = mix(out[live] + np.uint64(k))
-        out[live] = (out[live] ^ low[starts[live] + k]) * _BASE
+            found[k][order[:live]] = mix(value[:live] + np.uint64(k))
+        value[:live] ^= low.take(at[:live])
+        value[:live] *= _BASE
+        at[:live] += 1
+    out = np.empty_like(value)
+    out[order] = value
     out = mix(out + sizes.astype(np.uint64))
     for i in np.flatnonzero(sizes > _LONG):
         out[i] = xxhash.xxh64_intdigest(low[starts[i] : ends[i]].tobytes())
