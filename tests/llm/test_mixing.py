@@ -187,6 +187,17 @@ def test_learning_equals_a_plain_learner_at_less_cpu():
     assert min(took[0]) < 0.77 * min(took[1])
 
 
+def test_learners_leave_in_small_batches():
+    learner = bits.Learner(bits.Shape((20, 18), (0.4, 0.4), 1, (0, 1)))
+    learner.counts[:] = np.random.default_rng(1).integers(0, 1 << 16, len(learner.counts))
+    batches = list(learner.batches())
+    assert max(b.nbytes for b in batches) < 5 << 20 < sum(b.nbytes for b in batches)
+    assert learner.rows().to_pylist() == [r for b in batches for r in b.to_pylist()]
+    found = [r for b in bits._summed(iter(batches)) for r in b.to_pylist()]
+    codes = np.concatenate([np.frombuffer(r["data"], np.uint8) for r in found[1:]])
+    assert found[0]["block"] == -1 and np.array_equal(codes, bits._code(learner.counts))
+
+
 def test_first_byte_is_a_distribution():
     learner = bits.Learner(mixing.spelling_shape(3))
     mixing.teach(learner, [b"abc", b"abd", b"x"] * 20)

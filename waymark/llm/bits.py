@@ -21,7 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-BLOCK = 1 << 17
+#: Counts of a row, and rows that go to the JVM at a time.
+BLOCK, ROWS = 1 << 15, 32
 _STATE = -1
 _CURVE = np.linspace(-12, 12, 49)
 _RATE = 0.15
@@ -119,13 +120,25 @@ class Learner:
 
     def rows(self) -> pa.RecordBatch:
         """The learner as rows (block, data): compressed counts, and one row of everything else."""
+        return pa.Table.from_batches(list(self.batches())).combine_chunks().to_batches()[0]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The same rows, a few at a time."""
         blocks, data = [_STATE], [np.concatenate([(self.weights * self.hits[:, None]).ravel(), self.hits, self.sums.ravel(), self.seen.ravel()]).tobytes()]
         for block in range(-(-len(self.counts) // BLOCK)):
             part = self.counts[block * BLOCK : (block + 1) * BLOCK]
             if part.any():
                 blocks.append(block)
                 data.append(_squeeze(part))
-        return pa.record_batch([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+            if len(blocks) == ROWS:
+                yield _batch(blocks, data)
+                blocks, data = [], []
+        if blocks:
+            yield _batch(blocks, data)
+
+
+def _batch(blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -152,7 +165,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         data = total.tobytes() if now == _STATE else _code(total).tobytes()
-        return pa.record_batch([pa.array([now], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+        return _batch([now], [data])
 
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

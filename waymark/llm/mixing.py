@@ -388,10 +388,12 @@ def learn_words(texts: DataFrame, lexicon: Lexicon) -> Mixer:
                 found, _ = decisions(t, known, known.cells(known.head.find(t.hashes)))
                 for lot in found.lots():
                     learner.step(lot.slots, lot.kind, lot.bit)
-        yield learner.rows()
+        yield from learner.batches()
 
     tasks = min(TASKS, max(context.defaultParallelism, lexicon.total // TASK_TOKENS))
-    return merged(texts.coalesce(tasks).mapInArrow(run, "block int, data binary"), lexicon.shape)
+    mixer = merged(texts.coalesce(tasks).mapInArrow(run, "block int, data binary"), lexicon.shape)
+    shared.unpersist()
+    return mixer
 
 
 # ---- spelling of unknown words
@@ -459,7 +461,7 @@ def learn_spelling(vocabulary: DataFrame, distinct: int) -> Mixer:
         learner = Learner(shape)
         for batch in batches:
             teach(learner, batch.column(0).to_pylist())
-        yield learner.rows()
+        yield from learner.batches()
 
     tasks = min(TASKS, max(vocabulary.sparkSession.sparkContext.defaultParallelism, distinct // TASK_WORDS))
     return merged(vocabulary.select("word").coalesce(tasks).mapInArrow(run, "block int, data binary"), shape)
@@ -640,6 +642,7 @@ def score_documents(docs: DataFrame, train: str = "true", id_col: str = "doc_id"
 
     kind = marked.schema["id"].dataType.simpleString()
     rated = materialise(marked.mapInArrow(run, f"id {kind}, {_PART}, {_RARE}"), "rated", compression="zstd")
+    shared.unpersist()
     return _finished(rated, rest, model.lexicon, id_col)
 
 
