@@ -74,8 +74,8 @@ ODD_PAGES = [
 ]
 
 
-def check_odd_pages(spark, folder, name):
-    spark.createDataFrame([(i, f"https://h{i}.example.com/", p) for i, p in enumerate(ODD_PAGES)], "page_id long, url string, html string").coalesce(1).write.parquet(str(folder / "pages.parquet"))
+def check_odd_pages(spark, folder, name, pages=tuple(enumerate(ODD_PAGES))):
+    spark.createDataFrame([(i, f"https://h{i}.example.com/", p) for i, p in pages], "page_id long, url string, html string").coalesce(1).write.parquet(str(folder / "pages.parquet"))
     db = duckdb.connect()
     db.execute(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
     want = db.execute(catalog.ORACLE_SQL[name]).df()
@@ -86,3 +86,9 @@ def check_odd_pages(spark, folder, name):
 
 def test_odd_texts_as_in_sql(spark, tmp_path):
     check_odd_pages(spark, tmp_path, "page_visible_text")
+
+
+def test_odd_analysed_pages_as_in_sql(spark, tmp_path):
+    # pages that can't be parsed or have assets of their own are left out, for the SQL names the assets it adds; every sixth id shows the page itself
+    odd = [p for p in ODD_PAGES if p is not None and "<![" not in p and "src=" not in p] + ["<title>long</title>" + "a &quot " * 70_000]
+    check_odd_pages(spark, tmp_path, "analyzed_pages", [(6 * i + j, p) for i, p in enumerate(odd) for j in (0, 5)])

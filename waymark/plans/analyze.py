@@ -24,12 +24,13 @@ def header(headers: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
 
 
-def analyze(responses: DataFrame, rules: Rules) -> DataFrame:
+def analyze(responses: DataFrame, rules: Rules, plainly: bool = False) -> DataFrame:
     """Features, classes, signatures and fingerprints of every site, keep-first by its URL.
 
     ``responses`` has the columns of ``RESPONSES`` (and ``line_no``, if the first of
     equal sites is to be told). A site whose page can't be read keeps what was found
-    and gets the error; one that was never fetched has nulls for its statuses.
+    and gets the error; one that was never fetched has nulls for its statuses. ``plainly``
+    reads titles and texts by the plain patterns of ``functions/pages.py``.
     """
     site = urls.site_struct(F.col("raw"), rules)
     rows = responses.withColumn("site", site).where("site.problem = ''")
@@ -38,7 +39,7 @@ def analyze(responses: DataFrame, rules: Rules) -> DataFrame:
     body = F.substring(F.col("final.body"), 1, most)
     ok = F.coalesce(F.col("probe_error"), F.lit("")) == ""
     final_url = F.when(F.coalesce(F.col("final.url"), F.lit("")) == "", F.col("site.url")).otherwise(F.col("final.url"))
-    page = page_udf(rules.patterns("http", "html_content_types"))
+    page = page_udf(rules.patterns("http", "html_content_types"), plainly)
     # bodies are parsed where they are read and never shuffled; equal sites are told on what is left
     parsed = rows.select(
         order.alias("__order"), "raw", F.col("site.url").alias("url"), F.col("site.scheme").alias("scheme"), F.col("site.host").alias("host"), F.col("site.port").alias("port"),
